@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptscore.functions.once import with_once
 from promptscore.functions.text import cut_bytes, duration_text
 
 SUCCESS = "success"
@@ -29,44 +30,42 @@ _SHORT_DAYS = "(?:mon|tue|wed|thu|fri|sat|sun)"
 _LONG_DAYS = "(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
 
 _MONTH = "(" + "|".join(_MONTHS) + ")"
-_CLOCK = r"(\d{1,2}):(\d{2}):(\d{2})"
-# The three date forms HTTP allows, each with the positions of day, month, year and the clock.
+_CLOCK = r"(\d{1,2}):(\d{2}):([0-5]\d)"
+# The date forms HTTP allows and how each is rewritten to "date year month day hour minute second".
+# Two-digit years from 69 on belong to the last century.
 _DATE_FORMS = [
-    (rf"^(?i:{_SHORT_DAYS}, (\d{{2}}) {_MONTH} (\d{{4}}) {_CLOCK}) GMT$", (1, 2, 3, 4)),
-    (rf"^(?i:{_LONG_DAYS}, (\d{{2}})-{_MONTH}-(\d{{2}}) {_CLOCK}) [A-Z]{{3,4}}$", (1, 2, 3, 4)),
-    (rf"^(?i:{_SHORT_DAYS} {_MONTH} ([ \d]?\d) {_CLOCK} (\d{{4}}))$", (2, 1, 6, 3)),
+    (rf"^(?i:{_SHORT_DAYS}, (\d{{2}}) {_MONTH} (\d{{4}}) {_CLOCK}) GMT$", "date $3 $2 $1 $4 $5 $6"),
+    (rf"^(?i:{_LONG_DAYS}, (\d{{2}})-{_MONTH}-(69|[7-9]\d) {_CLOCK}) [A-Z]{{3,4}}$", "date 19$3 $2 $1 $4 $5 $6"),
+    (rf"^(?i:{_LONG_DAYS}, (\d{{2}})-{_MONTH}-(\d{{2}}) {_CLOCK}) [A-Z]{{3,4}}$", "date 20$3 $2 $1 $4 $5 $6"),
+    (rf"^(?i:{_SHORT_DAYS} {_MONTH} +(\d{{1,2}}) {_CLOCK} (\d{{4}}))$", "date $6 $1 $2 $3 $4 $5"),
 ]
 
 
-def completion_fields(body: Column) -> Column:
-    """Parse a response body into ``<v: map, corrupt: string>``.
+def completion_fields(body: Column) -> tuple[Column, Column]:
+    """Parse a response body into ``<v: map, corrupt: string>``, and count it as an array element.
 
     The body is parsed as a member of a wrapper object: a JSON ``null`` then differs from a parse
     failure, and text after the value makes the wrapper invalid. Keys and repeats are kept in order.
+    A stray closing brace would end the wrapper early, but no array wrapper accepts it.
     """
-    wrapped = F.concat(F.lit('{"v":'), body, F.lit("}"))
-    return F.from_json(wrapped, "v map<string,variant>, corrupt string", _STRICT_JSON)
+    inside = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v map<string,variant>, corrupt string", _STRICT_JSON)
+    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", _STRICT_JSON)) == 1
+    return inside, alone
 
 
-def completion_of(body: Column) -> Column:
-    """The completion text of a 200 body, or NULL when the body cannot be decoded.
+def completion_text(inside: Column, alone: Column, body: Column) -> Column:
+    """The completion of a parsed 200 body, or NULL when it cannot be decoded.
 
     Keys match in any letter case and the last string wins; JSON null and a missing key leave it
     empty; any other type, text after the value, or more than 1 MiB is a decode failure.
     """
-    parsed = completion_fields(body)
-    named = F.filter(F.map_entries(parsed["v"]), lambda e: F.lower(e["key"]) == "completion")
+    named = F.filter(F.map_entries(inside["v"]), lambda e: F.lower(e["key"]) == "completion")
     kinds = F.transform(named, lambda e: F.schema_of_variant(e["value"]))
-    texts = F.transform(
-        F.filter(named, lambda e: F.schema_of_variant(e["value"]) == "STRING"),
-        lambda e: F.try_variant_get(e["value"], "$", "string"),
-    )
-    # a stray closing brace would end the wrapper early; an array wrapper does not accept it
-    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", _STRICT_JSON)) == 1
+    texts = F.filter(F.transform(named, lambda e: F.try_variant_get(e["value"], "$", "string")), lambda t: t.isNotNull())
     readable = (
         (F.octet_length(body) <= BODY_READ_LIMIT)
-        & parsed.isNotNull()
-        & parsed["corrupt"].isNull()
+        & inside.isNotNull()
+        & inside["corrupt"].isNull()
         & alone
         & ~F.coalesce(F.exists(kinds, lambda k: ~k.isin("STRING", "VOID")), F.lit(False))
     )
@@ -74,27 +73,27 @@ def completion_of(body: Column) -> Column:
     return F.when(F.coalesce(readable, F.lit(False)), last)
 
 
+def decode_completions(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Add ``response``: the decoded ``body`` where ``wanted``, NULL where it cannot be decoded."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    inside, alone = completion_fields(body)
+    parsed = with_once(rows, inside=F.when(wanted, inside), alone=F.when(wanted, alone))
+    text = completion_text(F.col("inside"), F.col("alone"), body)
+    return parsed.withColumn("response", F.when(wanted, text)).drop("inside", "alone")
+
+
 def http_date(text: Column) -> Column:
     """UTC timestamp of an HTTP date in any of its three forms, else NULL."""
-    found = []
-    for pattern, (day, month, year, clock) in _DATE_FORMS:
-        part = lambda i: F.regexp_extract(text, pattern, i)
-        full_year = part(year).try_cast("int")
-        if year == 3:
-            two_digit = F.when(full_year < 69, full_year + 2000).otherwise(full_year + 1900)
-            full_year = F.when(F.length(part(year)) == 2, two_digit).otherwise(full_year)
-        stamp = F.try_make_timestamp_ntz(
-            full_year,
-            F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(part(month))).cast("int"),
-            F.trim(part(day)).try_cast("int"),
-            part(clock).try_cast("int"),
-            part(clock + 1).try_cast("int"),
-            part(clock + 2).try_cast("decimal(16,6)"),
-        )
-        # a second of 60 would roll over to the next minute, which is not a valid date here
-        valid = text.rlike(pattern) & (part(clock + 2).try_cast("int") < 60)
-        found.append(F.when(valid, stamp))
-    return F.coalesce(*found)
+    plain = F.when(~text.startswith("date "), text)
+    for pattern, rewritten in _DATE_FORMS:
+        plain = F.regexp_replace(plain, pattern, rewritten)
+    fields = F.split(plain, " ")
+    number = lambda i: F.get(fields, F.lit(i)).try_cast("int")
+    months = F.split(F.lit(" ".join(_MONTHS)), " ")
+    stamp = F.try_make_timestamp_ntz(
+        number(1), F.array_position(months, F.lower(F.get(fields, F.lit(2)))).cast("int"), number(3), number(4), number(5), number(6)
+    )
+    return F.when(plain.startswith("date "), stamp)
 
 
 def retry_after_ms(header: Column, now: Column) -> Column:
@@ -153,11 +152,10 @@ def classify(attempts: DataFrame) -> DataFrame:
     """
     status, failure = F.col("http_status"), F.col("transport_error")
     first = outcome_before_decode(status, failure)
-    text = F.when(first == SUCCESS, completion_of(F.coalesce(F.col("body"), F.lit(""))))
     hint = F.when(first == RATE_LIMITED, retry_after_ms(F.col("retry_after"), F.col("finished_at"))).otherwise(
         F.lit(0).cast("bigint")
     )
-    decoded = attempts.withColumns({"response": text, "retry_after_ms": hint})
+    decoded = decode_completions(attempts, first == SUCCESS).withColumn("retry_after_ms", hint)
     outcome = F.when((first == SUCCESS) & F.col("response").isNull(), PERMANENT).otherwise(first)
     typed = decoded.withColumn("outcome", outcome)
     message = error_text(F.col("outcome"), status, F.col("body"), failure, F.col("retry_after_ms"))

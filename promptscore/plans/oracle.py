@@ -74,7 +74,7 @@ _PARTS: dict[str, tuple[list[str], str]] = {
     # text after a complete array is ignored, so it is cut off before parsing
     "typed": (
         ["bodies"],
-        """SELECT request_id, received_at, body, strlen(body) > 65536 AS too_large,
+        """SELECT request_id, received_at, body, strlen(body) > 40000 AS too_large,
              CASE WHEN json_valid(body) THEN body
                   WHEN json_valid(regexp_extract(body, '^([^\\]]*\\])', 1)) THEN regexp_extract(body, '^([^\\]]*\\])', 1)
              END AS doc FROM bodies""",
@@ -280,7 +280,7 @@ _PARTS: dict[str, tuple[list[str], str]] = {
         ["arrivals"],
         """SELECT *, greatest(us, coalesce(position * step + max(us - position * step) OVER (PARTITION BY shard ORDER BY us, id
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), us) - 2 * step) - us AS wait_us
-           FROM (SELECT *, CAST(floor(1000000.0 * shards / 0.02) AS BIGINT) AS step FROM arrivals)""",
+           FROM (SELECT *, CAST(floor(1000000.0 * shards / 0.004) AS BIGINT) AS step FROM arrivals)""",
     ),
 }
 
@@ -322,7 +322,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "score_model": (
         [],
         """SELECT vec_id, round(list_sum(list_transform(range(64),
-             lambda i: CAST(embedding[i + 1] AS DOUBLE) * (i * 37 % 64 - 31.5) / 64)), 3) AS score FROM embeddings""",
+             lambda i: CAST(embedding[i + 1] AS DOUBLE) * (i * 37 % 64 - 31.5) / 64)), 3) + 0.0 AS score FROM embeddings""",
     ),
     "rounds_end_to_end": (
         ["queue", "last_reply"],

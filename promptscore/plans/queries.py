@@ -22,7 +22,7 @@ from promptscore.streaming import jobs
 
 DEFAULTS = Options()
 SMALL = Options(max_batch_size=30)
-BODIES = Options(max_batch_size=12, body_limit=65_536)
+BODIES = Options(max_batch_size=12, body_limit=40_000)
 AS_OF = "2024-01-20 00:00:00"
 CLAIM_SIZE = 64
 ROUNDS = 6
@@ -139,7 +139,7 @@ def _linear_model():
 def score_model(spark, folder):
     predict = scoring.model_scorer(_linear_model, T.DoubleType(), batch_size=1024, input_shape=[64])
     vectors = standins.read(spark, folder, "embeddings")
-    return vectors.select("vec_id", F.round(predict("embedding"), 3).alias("score"))
+    return vectors.select("vec_id", (F.round(predict("embedding"), 3) + 0.0).alias("score"))
 
 
 def _scripted(number: int) -> scoring.Transport:
@@ -198,8 +198,9 @@ def classify_attempts(spark, folder):
 @query
 def decode_completion(spark, folder):
     answered = _log(spark, folder).filter("http_status = 200")
-    decoded = answered.select("prompt_id", "round", o.completion_of(F.col("body")).alias("completion"))
-    return decoded.withColumn("decoded", F.col("completion").isNotNull())
+    decoded = o.decode_completions(answered, F.lit(True))
+    text = F.col("response")
+    return decoded.select("prompt_id", "round", text.alias("completion"), text.isNotNull().alias("decoded"))
 
 
 @query
@@ -430,7 +431,7 @@ def send_plan(spark, folder):
     arrivals = standins.read(spark, folder, "events").select(
         F.col("event_id").alias("id"), F.col("ts").alias("arrived_at")
     )
-    return pacing.send_plan(arrivals, Options(rate_per_sec=0.02, burst=3))
+    return pacing.send_plan(arrivals, Options(rate_per_sec=0.004, burst=3))
 
 
 # ---- streaming --------------------------------------------------------------------------------
@@ -452,7 +453,7 @@ def _run(started) -> None:
 def stream_ingest(spark, folder):
     root = new_work_dir(spark, "ingest")
     tables.put(standins.requests(spark, folder), f"{root}/requests")
-    _run(jobs.ingest(_stream(spark, f"{root}/requests", 1), BODIES, root, f"{root}/checkpoint"))
+    _run(jobs.ingest(_stream(spark, f"{root}/requests", 4), BODIES, root, f"{root}/checkpoint"))
     prompts = jobs.epochs(spark, f"{root}/prompts")
     return prompts.select("prompt_id", "batch_id", "seq", "prompt_text", "created_at")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptscore.functions.ids import stable_uuid
+from promptscore.functions.once import with_once
 from promptscore.functions.text import trim_space
 from promptscore.operators import validate as v
 from promptscore.options import Options
@@ -33,23 +34,20 @@ def parse(requests: DataFrame, options: Options) -> DataFrame:
     )
     is_null = F.col("body").rlike(_JSON_NULL)
     prompts = F.when(kinds_ok, texts).when(is_null & F.col("typed").isNull() & ~too_large, F.array().cast("array<string>"))
-    listed = typed.withColumn("prompts", prompts).drop("typed")
-    total = F.size("prompts").cast("bigint")
-    codes = F.transform("prompts", lambda p: v.prompt_error(p, options))
-    bad_at = F.array_position(F.transform(codes, lambda c: c.isNotNull()), True)
-    judged = listed.withColumns({"codes": codes, "bad_at": bad_at})
+    listed = typed.withColumn("texts", prompts).drop("typed")
+    codes = F.transform("texts", lambda p: v.prompt_error(p, options))
+    judged = listed.withColumn("codes", codes)
+    judged = judged.withColumn("bad_at", F.array_position(F.transform("codes", lambda c: c.isNotNull()), True))
+    by_prompt = F.when(F.col("bad_at") > 0, F.try_element_at("codes", F.col("bad_at").cast("int")))
+    by_size = v.size_error(F.size("texts").cast("bigint"), options)
     code = (
         F.when(too_large, v.BODY_TOO_LARGE)
-        .when(F.col("prompts").isNull(), v.NOT_AN_ARRAY)
-        .otherwise(
-            F.coalesce(
-                v.size_error(total, options),
-                F.when(F.col("bad_at") > 0, F.try_element_at("codes", F.col("bad_at").cast("int"))),
-            )
-        )
+        .when(F.col("texts").isNull(), v.NOT_AN_ARRAY)
+        .otherwise(F.coalesce(by_size, by_prompt))
     )
-    seq = F.when(code.isin(v.EMPTY_PROMPT, v.PROMPT_TOO_LONG), (F.col("bad_at") - 1).cast("int"))
-    return judged.withColumns({"error_code": code, "error_seq": seq}).drop("codes", "bad_at")
+    seq = F.when(~too_large & by_size.isNull() & by_prompt.isNotNull(), (F.col("bad_at") - 1).cast("int"))
+    done = with_once(judged, prompts=F.col("texts"), error_code=code, error_seq=seq)
+    return done.drop("texts", "codes", "bad_at")
 
 
 def triage(parsed: DataFrame) -> DataFrame:
