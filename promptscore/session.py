@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators count on; all can be set on a live session."""
+    """Runtime settings the operators count on; all can be set on a live session.
+
+    Functions of this package are sent to Python workers by value, so the package need not be
+    installed on the executors.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["promptscore"])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
