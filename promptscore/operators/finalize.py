@@ -11,11 +11,14 @@ from promptscore.options import Options
 DOCUMENT_BYTES = 64 << 20
 
 
-def batch_counts(state: DataFrame) -> DataFrame:
-    """total, succeeded, failed, remaining and done for every batch, pre-aggregated per map task."""
+def batch_counts(state: DataFrame, *more: Column) -> DataFrame:
+    """total, succeeded, failed, remaining and done for every batch, pre-aggregated per map task.
+
+    ``more`` are further aggregates to take in the same pass.
+    """
     succeeded = F.count_if(F.col("status") == "succeeded").alias("succeeded")
     failed = F.count_if(F.col("status") == "failed").alias("failed")
-    counts = state.groupBy("batch_id").agg(F.count("*").alias("total"), succeeded, failed)
+    counts = state.groupBy("batch_id").agg(F.count("*").alias("total"), succeeded, failed, *more)
     return with_progress(counts)
 
 
@@ -71,15 +74,10 @@ def result_documents(
     """
     shelf_rows = options.max_batch_size
     item = F.octet_length("prompt_text") + F.coalesce(F.octet_length("response"), F.lit(0))
-    sized = state.groupBy("batch_id").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.sum(item).alias("bytes"),
-        F.max(item).alias("largest"),
-        F.max("seq").alias("last_seq"),
+    sized = batch_counts(
+        state, F.sum(item).alias("bytes"), F.max(item).alias("largest"), F.max("seq").alias("last_seq")
     )
-    todo = newly_done(with_progress(sized), completed)
+    todo = newly_done(sized, completed)
     fits = F.greatest(F.floor(F.lit(document_bytes) / F.greatest("largest", F.lit(1))), F.lit(1))
     part_rows = F.when(F.col("bytes") <= document_bytes, F.lit(shelf_rows)).otherwise(F.least(F.lit(shelf_rows), fits))
     shelves = todo.select(

@@ -24,6 +24,61 @@ def _budget(log: DataFrame, options: Options) -> Column:
     return F.col("max_attempts") if "max_attempts" in log.columns else F.lit(options.max_attempts)
 
 
+def _piece(span: int) -> Column:
+    """First round of the span a round lies in; whole numbers throughout."""
+    return F.col("round") - F.pmod(F.col("round"), F.lit(span))
+
+
+def _spends(outcome: Column) -> Column:
+    return outcome.isin(o.TRANSIENT, o.ABANDONED)
+
+
+def _settles_alone(outcome: Column) -> Column:
+    return outcome.isin(o.SUCCESS, o.PERMANENT)
+
+
+def _earlier(keys: list[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``local``: the attempt's number among the budget-using attempts of its group."""
+    spent = F.sum(_spends(F.col("outcome")).cast("bigint")).over(_earlier(keys, "round"))
+    return rows.withColumn("local", F.lit(1).cast("bigint") + F.coalesce(spent, F.lit(0)))
+
+
+def _carried_over(log: DataFrame, budget: Column, span: int, prior: DataFrame | None) -> DataFrame:
+    """What each (prompt, piece) has to know of the pieces before it: attempts used, settled or not.
+
+    Works on the status columns alone: whether a 200 body decodes does not matter here, as it
+    settles the prompt either way. Only pieces with something to know are returned.
+    """
+    keys = ["prompt_id", "piece"]
+    kind = o.outcome_before_decode(F.col("http_status"), F.col("transport_error"))
+    slim = log.select("prompt_id", "round", _piece(span).alias("piece"), kind.alias("outcome"), budget.alias("budget"))
+    outcome = F.col("outcome")
+    pieces = _numbered(slim, keys).groupBy(*keys).agg(
+        F.sum(_spends(outcome).cast("bigint")).alias("n"),
+        F.max(_settles_alone(outcome)).alias("settles"),
+        F.max(F.when(outcome == o.TRANSIENT, F.col("local"))).alias("tries"),
+        F.max("budget").alias("budget"),
+    )
+    used, was_settled = F.lit(0).cast("bigint"), F.lit(False)
+    if prior is not None:
+        pieces = pieces.join(_known(prior), "prompt_id", "left")
+        used, was_settled = F.coalesce(F.col("used"), used), F.coalesce(F.col("was_settled"), was_settled)
+    across = _earlier(["prompt_id"], "piece")
+    counted = pieces.withColumn("carried", used + F.coalesce(F.sum("n").over(across), F.lit(0)))
+    ends = F.col("settles") | F.coalesce(F.col("tries") + F.col("carried") >= F.col("budget"), F.lit(False))
+    closed = counted.withColumn("ended", was_settled | F.coalesce(F.max(ends).over(across), F.lit(False)))
+    return closed.filter((F.col("carried") > 0) | F.col("ended")).select(*keys, "carried", "ended")
+
+
+def _known(prior: DataFrame) -> DataFrame:
+    settled = F.col("status").isin("succeeded", "failed")
+    return prior.select("prompt_id", F.col("attempts").alias("used"), settled.alias("was_settled"))
+
+
 def decide(
     log: DataFrame,
     options: Options,
@@ -35,53 +90,44 @@ def decide(
 
     ``attempt`` is one plus the earlier attempts that used budget; ``live`` is false for rows after
     the one that settled the prompt. ``prior`` is the state before this part of the log
-    (prompt_id, status, attempts): settled prompts' rows are dropped and counts continue from it.
+    (prompt_id, status, attempts): counts continue from it, and rows of settled prompts are not live.
 
     When all rounds fit in one span, a prompt's rows are few and one window per prompt does it.
-    Otherwise rows are folded per (prompt, span of rounds) and two small per-span tables carry the
-    count of used budget and the fact of being settled from one span to the next, so a prompt with
-    a large part of the log is spread over tasks by span.
+    Otherwise rows are numbered per (prompt, span of rounds), and a small table per span carries used
+    budget and the fact of being settled from one span to the next, so a prompt with a large part of
+    the log is spread over tasks by span. The wide rows are shuffled and sorted once in both cases:
+    after the join with that table only arithmetic is left.
     """
     first, last = rounds or round_range(log)
     split = last - first >= span
     keys = ["prompt_id", "piece"] if split else ["prompt_id"]
-    zero = F.lit(0).cast("bigint")
-
-    def pieces(df: DataFrame) -> DataFrame:
-        if prior is not None:
-            before = prior.select("prompt_id", F.col("attempts").alias("used"), F.col("status").alias("was"))
-            df = df.join(before, "prompt_id", "left")
-            df = df.filter(~F.coalesce(F.col("was").isin("succeeded", "failed"), F.lit(False))).drop("was")
-        else:
-            df = df.withColumn("used", zero)
-        return df.withColumn("piece", F.floor(F.col("round") / F.lit(span))) if split else df
-
-    rows = pieces(o.classify(log))
-    across = Window.partitionBy("prompt_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.col("used"), zero)
+    budget = _budget(log, options)
+    outcome = F.col("outcome")
+
+    rows = o.classify(log)
     if split:
-        spends = o.uses_budget(F.col("http_status"), F.col("transport_error")).cast("bigint")
-        slim = log.select("prompt_id", F.floor(F.col("round") / F.lit(span)).alias("piece"), spends.alias("spends"))
-        sums = slim.groupBy(*keys).agg(F.sum("spends").alias("n"))
-        offsets = sums.select(*keys, F.sum("n").over(across).alias("carried"))
-        rows = rows.join(offsets, keys, "left")
-        carried = carried + F.coalesce(F.col("carried"), zero)
-
-    inside = Window.partitionBy(*keys).orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.col("outcome").isin(o.TRANSIENT, o.ABANDONED).cast("bigint")
-    attempt = F.lit(1) + carried + F.coalesce(F.sum(spent).over(inside), zero)
-    rows = rows.withColumn("attempt", attempt)
-    rows = settle.add_decision(rows, _budget(log, options))
-    settles = F.col("decision").isin(settle.SUCCEED, settle.FAIL)
-    rows = rows.withColumn("live", ~F.coalesce(F.max(settles).over(inside), F.lit(False)))
+        rows = rows.withColumn("piece", _piece(span))
+    inside = _earlier(keys, "round")
+    rows = _numbered(rows, keys).withColumns(
+        {
+            "settled_before": F.coalesce(F.max(_settles_alone(outcome)).over(inside), F.lit(False)),
+            "tries_before": F.max(F.when(outcome == o.TRANSIENT, F.col("local"))).over(inside),
+        }
+    )
     if split:
-        ends = rows.groupBy(*keys).agg(F.max(settles).alias("ends"))
-        ended = ends.select(*keys, F.max("ends").over(across).alias("ended"))
-        rows = rows.join(ended, keys, "left")
-        rows = rows.withColumn("live", F.col("live") & ~F.coalesce(F.col("ended"), F.lit(False)))
-
-    rows = settle.add_retry_time(rows, options)
-    return rows.drop("used", "piece", "carried", "ended")
+        rows = rows.join(_carried_over(log, budget, span, prior), keys, "left")
+    elif prior is not None:
+        known = _known(prior).withColumnsRenamed({"used": "carried", "was_settled": "ended"})
+        rows = rows.join(known, "prompt_id", "left")
+    else:
+        rows = rows.withColumns({"carried": F.lit(0).cast("bigint"), "ended": F.lit(False)})
+
+    carried = F.coalesce(F.col("carried"), F.lit(0))
+    spent_out = F.coalesce(F.col("tries_before") + carried >= budget, F.lit(False))
+    over = F.col("settled_before") | spent_out | F.coalesce(F.col("ended"), F.lit(False))
+    rows = rows.withColumns({"attempt": F.col("local") + carried, "live": ~over})
+    rows = settle.add_retry_time(settle.add_decision(rows, budget), options)
+    return rows.drop("piece", "local", "settled_before", "tries_before", "carried", "ended")
 
 
 def fold(decided: DataFrame, prior: DataFrame | None = None) -> DataFrame:

@@ -70,6 +70,16 @@ def check_prompts(rows: DataFrame, options: Options) -> DataFrame:
     return trimmed.withColumn("error_code", prompt_error(F.col("prompt_text"), options))
 
 
+def _first_error(order: Column, code: Column) -> Column:
+    """Least failing position with its code, as one number: fixed width keeps the aggregate hashed."""
+    which = F.when(code == EMPTY_PROMPT, 0).otherwise(1)
+    return F.min(F.when(code.isNotNull(), order * 2 + which))
+
+
+def _first_code(first: Column) -> Column:
+    return F.when(F.pmod(first, F.lit(2)) == 0, EMPTY_PROMPT).when(first.isNotNull(), PROMPT_TOO_LONG)
+
+
 def batch_verdicts(rows: DataFrame, options: Options, batches: DataFrame | None = None) -> DataFrame:
     """One row per batch: ``total_count``, ``error_code`` and ``error_seq`` of the first failing prompt.
 
@@ -78,7 +88,7 @@ def batch_verdicts(rows: DataFrame, options: Options, batches: DataFrame | None
     so a batch of any size costs its reducer one row per task.
     """
     checked = check_prompts(rows, options)
-    first = F.min(F.when(F.col("error_code").isNotNull(), F.struct("seq", "error_code")))
+    first = _first_error(F.col("seq"), F.col("error_code"))
     per_batch = checked.groupBy("batch_id").agg(F.count("*").alias("total_count"), first.alias("first"))
     if batches is not None:
         per_batch = batches.select("batch_id").join(per_batch, "batch_id", "left")
@@ -87,8 +97,8 @@ def batch_verdicts(rows: DataFrame, options: Options, batches: DataFrame | None
     return per_batch.select(
         "batch_id",
         total.alias("total_count"),
-        F.coalesce(by_size, F.col("first.error_code")).alias("error_code"),
-        F.when(by_size.isNull(), F.col("first.seq")).alias("error_seq"),
+        F.coalesce(by_size, _first_code(F.col("first"))).alias("error_code"),
+        F.when(by_size.isNull(), F.shiftright("first", 1)).alias("error_seq"),
     )
 
 
@@ -100,9 +110,11 @@ def accept_rows(rows: DataFrame, options: Options, order: str = "seq", span: int
     spans; the same per-span summary carries the verdict. The text is shuffled once, on
     (batch, span), so a batch holding much of the table spreads over many tasks.
     """
-    checked = check_prompts(rows, options).withColumn("span", F.floor(F.col(order) / F.lit(span)))
-    first = F.min(F.when(F.col("error_code").isNotNull(), F.struct(F.col(order), F.col("error_code"))))
-    spans = checked.groupBy("batch_id", "span").agg(F.count("*").alias("n"), first.alias("first"))
+    position = F.col(order)
+    checked = check_prompts(rows, options).withColumn("span", position - F.pmod(position, F.lit(span)))
+    spans = checked.groupBy("batch_id", "span").agg(
+        F.count("*").alias("n"), F.count(F.col("error_code")).alias("bad")
+    )
     whole = Window.partitionBy("batch_id")
     earlier = whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     good = (
@@ -110,16 +122,21 @@ def accept_rows(rows: DataFrame, options: Options, order: str = "seq", span: int
             {
                 "offset": F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint")),
                 "total_count": F.sum("n").over(whole),
-                "bad": F.min("first").over(whole),
+                "bad": F.sum("bad").over(whole),
             }
         )
-        .filter(size_error(F.col("total_count"), options).isNull() & F.col("bad").isNull())
+        .filter(size_error(F.col("total_count"), options).isNull() & (F.col("bad") == 0))
         .select("batch_id", "span", "offset", "total_count")
     )
+    # numbering comes before the join: its sort order is the one the join needs as well
     inside = Window.partitionBy("batch_id", "span").orderBy(order)
-    numbered = checked.drop("error_code").join(good, ["batch_id", "span"])
-    seq = F.col("offset") + F.row_number().over(inside) - 1
-    return numbered.withColumn("dense_seq", seq).drop("span", "offset", "seq").withColumnRenamed("dense_seq", "seq")
+    numbered = checked.drop("error_code").withColumn("local", F.row_number().over(inside) - 1)
+    placed = numbered.join(good, ["batch_id", "span"])
+    return (
+        placed.withColumn("dense", F.col("offset") + F.col("local"))
+        .drop("span", "offset", "local", "seq")
+        .withColumnRenamed("dense", "seq")
+    )
 
 
 def reject_report(verdicts: DataFrame) -> DataFrame:

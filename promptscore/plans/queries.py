@@ -513,6 +513,6 @@ def scored_batches(spark, folder):
         F.lit("succeeded").alias("status"),
         F.octet_length(scoring.length_echo(F.col("prompt_text"))).cast("bigint").alias("n_bytes"),
     )
-    counts = finalize.batch_counts(scored)
-    sizes = scored.groupBy("batch_id").agg(F.sum("n_bytes").alias("response_bytes"))
-    return counts.join(sizes, "batch_id").select("batch_id", "total", "succeeded", "failed", "done", "response_bytes")
+    size = F.sum("n_bytes").cast("bigint").alias("response_bytes")
+    counts = finalize.batch_counts(scored, size)
+    return counts.select("batch_id", "total", "succeeded", "failed", "done", "response_bytes")

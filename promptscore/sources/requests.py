@@ -10,31 +10,31 @@ from promptscore.functions.once import with_once
 from promptscore.functions.text import trim_space
 from promptscore.operators import validate as v
 from promptscore.options import Options
+from promptscore.sources import tables
 
-_JSON_NULL = r"(?s)^[ \t\r\n]*null([ \t\r\n].*)?$"
-_OPTIONS = {"allowSingleQuotes": "false"}
-
-
-def body_prompts(body: Column) -> Column:
-    """Body as an array of typed values; NULL when it is not a JSON array."""
-    return F.from_json(body, "array<variant>", _OPTIONS)
+# The shapes a body may have, as reported by ``schema_of_variant``.
+_STRING_ARRAYS = ("ARRAY<STRING>", "ARRAY<VOID>")
+_JSON_NULL = "VOID"
 
 
 def parse(requests: DataFrame, options: Options) -> DataFrame:
     """Add ``prompts`` (trimmed), ``error_code`` and ``error_seq`` to each request row.
 
     A request is one row, so every check is an expression over its own array: the same code runs on
-    a stream, and no batch is ever gathered from several rows.
+    a stream, and no batch is ever gathered from several rows. JSON null counts as an empty array and
+    a null element as an empty prompt; text after the array is ignored. Bodies over the limit are not
+    parsed; Spark's own limit for one parsed body is 128 MiB.
     """
     too_large = F.octet_length("body") > options.max_body_bytes
-    typed = requests.withColumn("typed", F.when(~too_large, body_prompts(F.col("body"))))
-    kinds_ok = F.forall("typed", lambda x: F.schema_of_variant(x).isin("STRING", "VOID"))
+    value = requests.withColumn("value", F.when(~too_large, F.try_parse_json("body")))
+    shaped = value.withColumn("shape", F.schema_of_variant("value"))
     texts = F.transform(
-        "typed", lambda x: trim_space(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+        F.try_variant_get("value", "$", "array<string>"), lambda x: trim_space(F.coalesce(x, F.lit("")))
     )
-    is_null = F.col("body").rlike(_JSON_NULL)
-    prompts = F.when(kinds_ok, texts).when(is_null & F.col("typed").isNull() & ~too_large, F.array().cast("array<string>"))
-    listed = typed.withColumn("texts", prompts).drop("typed")
+    prompts = F.when(F.col("shape").isin(*_STRING_ARRAYS), texts).when(
+        F.col("shape") == _JSON_NULL, F.array().cast("array<string>")
+    )
+    listed = shaped.withColumn("texts", prompts).drop("value", "shape")
     codes = F.transform("texts", lambda p: v.prompt_error(p, options))
     judged = listed.withColumn("codes", codes)
     judged = judged.withColumn("bad_at", F.array_position(F.transform("codes", lambda c: c.isNotNull()), True))
@@ -83,6 +83,23 @@ def prompts_of(parsed: DataFrame, options: Options, as_of: Column) -> DataFrame:
     return queue_rows(exploded, options, F.col("at"))
 
 
+def store(requests: DataFrame, options: Options, root: str, part: str) -> None:
+    """Write one delivery of requests as prompts, rejects and batches, in this order.
+
+    The parsed requests are written first and the three tables are read off them, so bodies are
+    parsed once and a lost executor costs a re-read instead of a re-parse. Each table gets the
+    delivery under its own ``part`` folder, and storing it again replaces it; the batch rows come
+    last, so readers that ask for the batch row never see half a batch. Times are ``received_at``.
+    """
+    staged = f"{root}/parsed/{part}"
+    tables.put(parse(requests, options).drop("body"), staged)
+    parsed = tables.get(requests.sparkSession, staged)
+    at = F.col("received_at")
+    tables.put(prompts_of(parsed, options, at), f"{root}/prompts/{part}")
+    tables.put(rejects_of(parsed), f"{root}/rejects/{part}")
+    tables.put(batches_of(parsed, at), f"{root}/batches/{part}")
+
+
 def rejects_of(parsed: DataFrame) -> DataFrame:
     return parsed.filter("error_code is not null").select(
         "request_id", "error_code", v.error_message(F.col("error_code")).alias("error"), F.col("error_seq").alias("seq")

@@ -40,21 +40,10 @@ def epochs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, options: Options, root: str, checkpoint: str, every_ms: int | None = None) -> StreamingQuery:
-    """Request bodies to prompts, rejects and batches, in this order. Timestamps are the requests' own.
-
-    The parsed micro-batch is written once and the three tables are read off it, so bodies are
-    parsed once and a lost executor costs a re-read instead of a re-parse.
-    """
+    """Request bodies to prompts, rejects and batches, one delivery per epoch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        staged = f"{root}/parsed/epoch={epoch}"
-        tables.put(requests.parse(batch, options).drop("body"), staged)
-        parsed = tables.get(spark, staged)
-        at = F.col("received_at")
-        tables.put(requests.prompts_of(parsed, options, at), f"{root}/prompts/epoch={epoch}")
-        tables.put(requests.rejects_of(parsed), f"{root}/rejects/epoch={epoch}")
-        tables.put(requests.batches_of(parsed, at), f"{root}/batches/epoch={epoch}")
+        requests.store(batch, options, root, f"epoch={epoch}")
 
     return start(stream, write, checkpoint, every_ms=every_ms)
 
