@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptscore.functions.once import with_once
 from promptscore.functions.text import cut_bytes, duration_text
 
 SUCCESS = "success"
@@ -77,7 +76,7 @@ def decode_completions(rows: DataFrame, wanted: Column) -> DataFrame:
     """Add ``response``: the decoded ``body`` where ``wanted``, NULL where it cannot be decoded."""
     body = F.coalesce(F.col("body"), F.lit(""))
     inside, alone = completion_fields(body)
-    parsed = with_once(rows, inside=F.when(wanted, inside), alone=F.when(wanted, alone))
+    parsed = rows.withColumns({"inside": F.when(wanted, inside), "alone": F.when(wanted, alone)})
     text = completion_text(F.col("inside"), F.col("alone"), body)
     return parsed.withColumn("response", F.when(wanted, text)).drop("inside", "alone")
 
@@ -87,13 +86,16 @@ def http_date(text: Column) -> Column:
     plain = F.when(~text.startswith("date "), text)
     for pattern, rewritten in _DATE_FORMS:
         plain = F.regexp_replace(plain, pattern, rewritten)
-    fields = F.split(plain, " ")
-    number = lambda i: F.get(fields, F.lit(i)).try_cast("int")
     months = F.split(F.lit(" ".join(_MONTHS)), " ")
-    stamp = F.try_make_timestamp_ntz(
-        number(1), F.array_position(months, F.lower(F.get(fields, F.lit(2)))).cast("int"), number(3), number(4), number(5), number(6)
-    )
-    return F.when(plain.startswith("date "), stamp)
+
+    def stamp(fields: Column) -> Column:
+        number = lambda i: F.get(fields, F.lit(i)).try_cast("int")
+        month = F.array_position(months, F.lower(F.get(fields, F.lit(2)))).cast("int")
+        return F.try_make_timestamp_ntz(number(1), month, number(3), number(4), number(5), number(6))
+
+    # binding the fields to a lambda variable keeps the rewriting from running once per field
+    dates = F.filter(F.array(plain), lambda p: p.startswith("date "))
+    return F.get(F.transform(F.transform(dates, lambda p: F.split(p, " ")), stamp), F.lit(0))
 
 
 def retry_after_ms(header: Column, now: Column) -> Column:
@@ -148,7 +150,8 @@ def error_text(outcome: Column, http_status: Column, body: Column, transport_err
 def classify(attempts: DataFrame) -> DataFrame:
     """Add ``outcome``, ``response``, ``retry_after_ms`` and ``error`` and drop the raw response.
 
-    Narrow: bodies are reduced to a completion or a short message before anything is shuffled.
+    Narrow: bodies are reduced to a completion or a short message before anything is shuffled. To
+    filter on the outcome right away, ``hold`` it first, or the filter parses the bodies once more.
     """
     status, failure = F.col("http_status"), F.col("transport_error")
     first = outcome_before_decode(status, failure)

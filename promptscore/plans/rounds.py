@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptscore.functions import outcomes as o
+from promptscore.functions.once import hold
 from promptscore.operators import scoring, settle, state
 from promptscore.options import Options
 from promptscore.sources import tables
@@ -35,7 +36,7 @@ def _as_of(moment: datetime):
 
 def stepped(attempts: DataFrame, options: Options) -> DataFrame:
     """Decision and resulting state per logged attempt; the claim already counted the attempt."""
-    rows = o.classify(attempts).withColumn("attempt", F.col("attempts"))
+    rows = hold(o.classify(attempts), "outcome").withColumn("attempt", F.col("attempts"))
     rows = settle.add_retry_time(settle.add_decision(rows, F.col("max_attempts")), options)
     decision = F.col("decision")
     return rows.withColumns(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptscore.functions.ids import stable_uuid
-from promptscore.functions.once import with_once
+from promptscore.functions.once import hold
 from promptscore.functions.text import trim_space
 from promptscore.operators import validate as v
 from promptscore.options import Options
@@ -46,8 +46,8 @@ def parse(requests: DataFrame, options: Options) -> DataFrame:
         .otherwise(F.coalesce(by_size, by_prompt))
     )
     seq = F.when(~too_large & by_size.isNull() & by_prompt.isNotNull(), (F.col("bad_at") - 1).cast("int"))
-    done = with_once(judged, prompts=F.col("texts"), error_code=code, error_seq=seq)
-    return done.drop("texts", "codes", "bad_at")
+    done = judged.withColumns({"prompts": F.col("texts"), "error_code": code, "error_seq": seq})
+    return hold(done.drop("texts", "codes", "bad_at"), "prompts", "error_code", "error_seq")
 
 
 def triage(parsed: DataFrame) -> DataFrame:

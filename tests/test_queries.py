@@ -50,7 +50,7 @@ def test_plan_is_free_of_python_and_pair_joins(spark, folder, name):
 
 
 def test_bodies_are_parsed_once(spark, folder):
-    assert plan_of(QUERIES["request_rejects"](spark, folder)).count("parse_json") == 2  # one per part of the union
+    assert plan_of(QUERIES["request_rejects"](spark, folder)).count("parseJson") == 2  # one per part of the union
     assert plan_of(QUERIES["prompt_state"](spark, folder)).count("from_json") == 2  # the two wrappers
 
 
