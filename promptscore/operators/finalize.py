@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptscore.options import Options
@@ -67,34 +67,46 @@ def result_documents(
 ) -> DataFrame:
     """Documents of newly done batches from (prompt_id, batch_id, seq, prompt_text, status, response).
 
-    A batch is one document (``part`` 0) as long as it has at most ``max_batch_size`` prompts and
-    its texts fit in ``document_bytes``. A larger batch is written as several documents, each
-    holding a run of consecutive ``seq``, so no task ever gathers more than one bounded part and
-    nothing is left out. ``seq`` is dense and 0-based.
+    A batch is one document (``part`` 0) as long as its ``seq`` stay below ``max_batch_size`` and its
+    texts fit in ``document_bytes``. A larger batch is written as several documents, each holding a
+    run of ``seq``, so no task ever gathers more than one bounded part and nothing is left out.
+
+    Rows are counted per (batch, shelf of ``max_batch_size`` positions); batch totals come from those
+    counts. Rows then meet their batch's totals on (batch, shelf), so a very large batch is spread.
     """
     shelf_rows = options.max_batch_size
     item = F.octet_length("prompt_text") + F.coalesce(F.octet_length("response"), F.lit(0))
-    sized = batch_counts(
-        state, F.sum(item).alias("bytes"), F.max(item).alias("largest"), F.max("seq").alias("last_seq")
+    shelf = F.col("seq") - F.pmod(F.col("seq"), F.lit(shelf_rows))
+    rows = state.withColumn("shelf", shelf)
+    whole = Window.partitionBy("batch_id")
+    per_shelf = rows.groupBy("batch_id", "shelf").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.sum(item).alias("bytes"),
+        F.max(item).alias("largest"),
+    )
+    totals = {c: F.sum(c).over(whole) for c in ("total", "succeeded", "failed", "bytes")}
+    per_batch = per_shelf.withColumns(
+        totals | {"largest": F.max("largest").over(whole), "first_shelf": F.min("shelf").over(whole)}
     )
-    todo = newly_done(sized, completed)
+    todo = newly_done(with_progress(per_batch), completed)
     fits = F.greatest(F.floor(F.lit(document_bytes) / F.greatest("largest", F.lit(1))), F.lit(1))
     part_rows = F.when(F.col("bytes") <= document_bytes, F.lit(shelf_rows)).otherwise(F.least(F.lit(shelf_rows), fits))
     shelves = todo.select(
         "batch_id",
+        "shelf",
+        "first_shelf",
         "total",
         "succeeded",
         "failed",
         part_rows.cast("bigint").alias("part_rows"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_seq") / F.lit(shelf_rows)))).alias("shelf"),
-    )
-    rows = succeeded_prompts(state).select(
-        "batch_id", F.floor(F.col("seq") / F.lit(shelf_rows)).alias("shelf"), "seq", "prompt_id", "prompt_text", "response"
     )
-    placed = shelves.join(rows, ["batch_id", "shelf"], "left")
-    slot = F.coalesce(F.floor((F.col("seq") % shelf_rows) / F.col("part_rows")), F.lit(0).cast("bigint"))
-    per_shelf = F.ceil(F.lit(shelf_rows) / F.col("part_rows"))
-    placed = placed.filter((F.col("shelf") == 0) | F.col("seq").isNotNull()).withColumn("slot", slot)
+    found = succeeded_prompts(rows).select("batch_id", "shelf", "seq", "prompt_id", "prompt_text", "response")
+    placed = shelves.join(found, ["batch_id", "shelf"], "left")
+    slot = F.coalesce(F.floor((F.col("seq") - F.col("shelf")) / F.col("part_rows")), F.lit(0).cast("bigint"))
+    per_shelf_parts = F.ceil(F.lit(shelf_rows) / F.col("part_rows"))
+    placed = placed.filter((F.col("shelf") == F.col("first_shelf")) | F.col("seq").isNotNull()).withColumn("slot", slot)
     entry = F.when(
         F.col("seq").isNotNull(),
         F.struct("seq", "prompt_id", F.col("prompt_text").alias("prompt"), "response"),
@@ -103,7 +115,7 @@ def result_documents(
         F.any_value("total").alias("total"),
         F.any_value("succeeded").alias("succeeded"),
         F.any_value("failed").alias("failed"),
-        F.any_value(F.col("shelf") * per_shelf + F.col("slot")).alias("part"),
+        F.any_value(F.floor(F.col("shelf") / F.lit(shelf_rows)) * per_shelf_parts + F.col("slot")).alias("part"),
         F.array_sort(F.collect_list(entry)).alias("entries"),
     )
     shown = F.transform(

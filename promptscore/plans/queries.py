@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptscore import schemas
 from promptscore.functions import outcomes as o
 from promptscore.functions.backoff import ceiling_ms
 from promptscore.operators import finalize, pacing, report, scoring, state, validate
@@ -437,12 +438,11 @@ def send_plan(spark, folder):
 # ---- streaming --------------------------------------------------------------------------------
 
 
-def _stream(spark, path, files_per_batch: int | None = None):
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+FILES_PER_BATCH = 4
+
+
+def _stream(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def _run(started) -> None:
@@ -453,7 +453,7 @@ def _run(started) -> None:
 def stream_ingest(spark, folder):
     root = new_work_dir(spark, "ingest")
     tables.put(standins.requests(spark, folder), f"{root}/requests")
-    _run(jobs.ingest(_stream(spark, f"{root}/requests", 4), BODIES, root, f"{root}/checkpoint"))
+    _run(jobs.ingest(_stream(spark, f"{root}/requests", schemas.REQUESTS), BODIES, root, f"{root}/checkpoint"))
     prompts = jobs.epochs(spark, f"{root}/prompts")
     return prompts.select("prompt_id", "batch_id", "seq", "prompt_text", "created_at")
 
@@ -470,7 +470,7 @@ def _settled(spark, folder) -> DataFrame:
 def stream_counts(spark, folder):
     root = new_work_dir(spark, "counts")
     tables.put(_settled(spark, folder), f"{root}/settled")
-    counted = jobs.live_counts(_stream(spark, f"{root}/settled", 4).select("prompt_id", "batch_id", "status"))
+    counted = jobs.live_counts(_stream(spark, f"{root}/settled", schemas.SETTLED).select("prompt_id", "batch_id", "status"))
     _run(jobs.start(counted, jobs.write_counts(root), f"{root}/checkpoint", mode="update"))
     return jobs.latest_counts(spark, root)
 
@@ -479,7 +479,7 @@ def stream_counts(spark, folder):
 def stream_completions(spark, folder):
     root = new_work_dir(spark, "completions")
     tables.put(_settled(spark, folder), f"{root}/settled")
-    found = jobs.completions(_stream(spark, f"{root}/settled", 4))
+    found = jobs.completions(_stream(spark, f"{root}/settled", schemas.SETTLED))
     _run(jobs.start(found, lambda batch, epoch: tables.put(batch, f"{root}/completed/epoch={epoch}"), f"{root}/checkpoint"))
     return jobs.epochs(spark, f"{root}/completed").drop("epoch")
 
@@ -491,11 +491,10 @@ def stream_fold(spark, folder):
     log = _log(spark, folder)
     first, last = state.round_range(log)
     cuts = [first + (last + 1 - first) * k // 3 for k in range(4)]
-    schema = log.schema
     for k in range(3):
         part = log.filter((F.col("round") >= cuts[k]) & (F.col("round") < cuts[k + 1]))
         tables.put(part, f"{root}/log/part-{k}")
-        delivered = spark.readStream.schema(schema).parquet(f"{root}/log/*")
+        delivered = spark.readStream.schema(schemas.ATTEMPTS).parquet(f"{root}/log/*")
         _run(jobs.start(delivered, jobs.fold_epochs(DEFAULTS, root), f"{root}/checkpoint"))
     return jobs.states_before(spark, root, 3, 20)
 

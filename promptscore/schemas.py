@@ -10,19 +10,7 @@ def _schema(*columns: tuple[str, T.DataType]) -> T.StructType:
 _S, _I, _L, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampNTZType()
 
 REQUESTS = _schema(("request_id", _S), ("body", _S), ("received_at", _TS))
-BATCHES = _schema(("batch_id", _S), ("status", _S), ("total_count", _L), ("created_at", _TS))
-REJECTS = _schema(("request_id", _S), ("error_code", _S), ("error", _S), ("seq", _I))
-PROMPTS = _schema(
-    ("prompt_id", _S),
-    ("batch_id", _S),
-    ("seq", _L),
-    ("prompt_text", _S),
-    ("status", _S),
-    ("attempts", _L),
-    ("max_attempts", _I),
-    ("next_retry_at", _TS),
-    ("created_at", _TS),
-)
+SETTLED = _schema(("prompt_id", _S), ("batch_id", _S), ("status", _S), ("total_count", _L))
 ATTEMPTS = _schema(
     ("prompt_id", _S),
     ("batch_id", _S),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameReader
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from promptscore.functions.ids import stable_uuid
 from promptscore.functions.once import hold
@@ -17,6 +18,16 @@ _STRING_ARRAYS = ("ARRAY<STRING>", "ARRAY<VOID>")
 _JSON_NULL = "VOID"
 
 
+def from_files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """One request per file, for ``spark.read`` and ``spark.readStream`` alike."""
+    whole = reader.format("text").option("wholetext", True).load(path)
+    return whole.select(
+        F.col("_metadata.file_path").alias("request_id"),
+        F.col("value").alias("body"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
+    )
+
+
 def parse(requests: DataFrame, options: Options) -> DataFrame:
     """Add ``prompts`` (trimmed), ``error_code`` and ``error_seq`` to each request row.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from promptscore import schemas
 from promptscore.operators import state as st
 from promptscore.options import Options
 from promptscore.sources import requests, tables
@@ -189,9 +190,10 @@ def states_before(
     """Newest state per prompt written before an epoch: the last snapshot plus the epochs after it."""
     base = epoch - epoch % compact_every if use_snapshot_at is None else use_snapshot_at
     paths = [f"{root}/state/epoch={n}" for n in range(base, epoch)]
-    parts = [spark.read.parquet(p).withColumn("at", F.lit(n)) for n, p in zip(range(base, epoch), paths)]
+    schema = schemas.PROMPT_STATE
+    parts = [tables.get(spark, p, schema).withColumn("at", F.lit(n)) for n, p in zip(range(base, epoch), paths)]
     if base > 0:
-        parts.append(spark.read.parquet(f"{root}/snapshot/upto={base}").withColumn("at", F.lit(base - 1)))
+        parts.append(tables.get(spark, f"{root}/snapshot/upto={base}", schema).withColumn("at", F.lit(base - 1)))
     if not parts:
         return None
     every = parts[0]

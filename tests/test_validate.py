@@ -112,3 +112,16 @@ def test_prompts_batches_rejects_partition_the_requests(spark):
     assert {(b.batch_id, b.total_count) for b in rq.batches_of(parsed, as_of).collect()} == {
         (prompts[0].batch_id, 2), (prompts[2].batch_id, 1)}
     assert [(r.request_id, r.error_code) for r in rq.rejects_of(parsed).collect()] == [("r2", "empty_batch")]
+
+
+def test_requests_from_files(spark, tmp_path):
+    for name, body in {"a": '["x",\n "y"]', "b": "[]"}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    read = rq.from_files(spark.read, str(tmp_path))
+    got = {r.request_id[-6:]: r.accepted for r in rq.triage(rq.parse(read, Options())).collect()}
+    assert got == {"a.json": 2, "b.json": None}
+    assert read.filter("received_at is null").count() == 0
+    rq.store(read, Options(), str(tmp_path / "out"), "delivery=1")
+    assert spark.read.parquet(f"{tmp_path}/out/prompts").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out/batches").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
