@@ -41,12 +41,16 @@ _PARTS: dict[str, tuple[list[str], str]] = {
              CASE WHEN count(*) <= 30 THEN min(seq) FILTER (error_code IS NOT NULL) END AS error_seq
            FROM checked GROUP BY batch_id""",
     ),
-    "accepted": (
+    "blocks": (
         ["checked"],
+        "SELECT batch_id || '/' || (seq // 1000) AS batch_id, seq, prompt_text, error_code FROM checked",
+    ),
+    "accepted": (
+        ["blocks"],
         """SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY seq) - 1 AS seq, prompt_text,
              count(*) OVER (PARTITION BY batch_id) AS total_count
-           FROM checked WHERE batch_id NOT IN (SELECT batch_id FROM checked WHERE error_code IS NOT NULL)
-             AND batch_id NOT IN (SELECT batch_id FROM checked GROUP BY batch_id HAVING count(*) > 10000)""",
+           FROM blocks WHERE batch_id NOT IN (SELECT batch_id FROM blocks WHERE error_code IS NOT NULL)
+             AND batch_id NOT IN (SELECT batch_id FROM blocks GROUP BY batch_id HAVING count(*) > 10000)""",
     ),
     "queue": (
         ["accepted"],
@@ -308,6 +312,13 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
            FROM customer LEFT JOIN log_prompts p ON p.batch_id = CAST(c_custkey AS VARCHAR) GROUP BY c_custkey""",
     ),
     "accepted_prompts": (["accepted"], "SELECT batch_id, seq, prompt_text, total_count FROM accepted"),
+    "accepted_by_source": (
+        ["rows_in"],
+        """SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY seq) - 1 AS seq, prompt_text,
+             count(*) OVER (PARTITION BY batch_id) AS total_count
+           FROM rows_in WHERE batch_id NOT IN (SELECT batch_id FROM rows_in WHERE prompt_text = '')
+             AND batch_id NOT IN (SELECT batch_id FROM rows_in GROUP BY batch_id HAVING count(*) > 10000)""",
+    ),
     "reject_report": (
         ["small_verdicts", "messages"],
         """SELECT error_code, error, status_code, count(*) AS batches, CAST(sum(total_count) AS BIGINT) AS prompts

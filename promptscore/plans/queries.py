@@ -23,6 +23,7 @@ from promptscore.streaming import jobs
 
 DEFAULTS = Options()
 SMALL = Options(max_batch_size=30)
+ANY_LENGTH = Options(max_prompt_bytes=1 << 30)
 BODIES = Options(max_batch_size=12, body_limit=40_000)
 AS_OF = "2024-01-20 00:00:00"
 CLAIM_SIZE = 64
@@ -93,7 +94,14 @@ def validate_known_batches(spark, folder):
 
 @query
 def accepted_prompts(spark, folder):
-    accepted = validate.accept_rows(standins.document_prompts(spark, folder), DEFAULTS)
+    accepted = validate.accept_rows(standins.block_prompts(spark, folder), DEFAULTS)
+    return accepted.select("batch_id", "seq", "prompt_text", "total_count")
+
+
+@query
+def accepted_by_source(spark, folder):
+    """Batches that grow with the table, and prompts of any length."""
+    accepted = validate.accept_rows(standins.document_prompts(spark, folder), ANY_LENGTH)
     return accepted.select("batch_id", "seq", "prompt_text", "total_count")
 
 
@@ -104,7 +112,7 @@ def reject_report(spark, folder):
 
 
 def _queue(spark, folder) -> DataFrame:
-    accepted = validate.accept_rows(standins.document_prompts(spark, folder), DEFAULTS)
+    accepted = validate.accept_rows(standins.block_prompts(spark, folder), DEFAULTS)
     return requests.queue_rows(accepted, DEFAULTS, _as_of())
 
 
@@ -505,8 +513,7 @@ def stream_fold(spark, folder):
 @query
 def scored_batches(spark, folder):
     """Documents to validated prompts, scored without Python, to per-batch status."""
-    rows = standins.document_prompts(spark, folder)
-    accepted = validate.accept_rows(rows, DEFAULTS)
+    accepted = validate.accept_rows(standins.block_prompts(spark, folder), DEFAULTS)
     scored = accepted.select(
         "batch_id",
         F.lit("succeeded").alias("status"),

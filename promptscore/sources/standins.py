@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from promptscore.functions.ids import stable_uuid
 
 DOCS_PER_BODY = 25
+DOCS_PER_BLOCK = 1000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +31,14 @@ def document_prompts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def block_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same prompts in a batch per source, language and block of documents, so that the share of
+    accepted batches does not depend on the table's size."""
+    rows = document_prompts(spark, folder)
+    block = F.floor(F.col("seq") / F.lit(DOCS_PER_BLOCK)).cast("string")
+    return rows.withColumn("batch_id", F.concat_ws("/", "batch_id", block))
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Request bodies: one of several forms per event, and arrays of up to 25 whole documents."""
     kind, key = F.col("event_type"), F.col("event_id").cast("string")
