@@ -133,3 +133,11 @@ def result_documents(
         F.size("results").alias("n_results"),
         document(as_of).alias("result"),
     )
+
+
+def completed_of(documents: DataFrame) -> DataFrame:
+    """One row per completed batch: when, in how many parts, and the document if one holds all results."""
+    whole = F.when(F.col("n_results") == F.col("succeeded"), F.col("result"))
+    return documents.groupBy("batch_id").agg(
+        F.max("generated_at").alias("completed_at"), F.count("*").alias("parts"), F.max(whole).alias("result")
+    )

@@ -12,11 +12,12 @@ from promptscore.operators.finalize import batch_counts
 
 
 def batch_status(batches: DataFrame, state: DataFrame, completed: DataFrame | None = None) -> DataFrame:
-    """All batches with live counts; ``completed`` (batch_id, completed_at) sets status and time."""
+    """All batches with live counts. ``completed`` (batch_id, completed_at and whatever else it has,
+    such as ``result``) sets status and time and adds its further columns."""
     counts = batch_counts(state).select("batch_id", "total", "succeeded", "failed")
     view = batches.join(counts, "batch_id", "left")
     if completed is not None:
-        view = view.drop("completed_at").join(completed.select("batch_id", "completed_at"), "batch_id", "left")
+        view = view.drop("completed_at").join(completed, "batch_id", "left")
         status = F.when(F.col("completed_at").isNotNull(), F.lit("completed")).otherwise(F.col("status"))
         view = view.withColumn("status", status)
     return view.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total", "succeeded", "failed")})

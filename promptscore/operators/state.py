@@ -197,7 +197,12 @@ def claim(state: DataFrame, as_of: Column, limit: int | None = None) -> DataFram
     if limit is not None:
         order = ["next_retry_at", "batch_id", "seq" if "seq" in state.columns else "prompt_id"]
         ready = ready.orderBy(*order).limit(limit)
-    return ready.withColumns({"attempts": F.col("attempts") + 1, "status": F.lit("processing")})
+    return taken(ready)
+
+
+def taken(rows: DataFrame) -> DataFrame:
+    """Claimed rows: the attempt is counted before it is made."""
+    return rows.withColumns({"attempts": F.col("attempts") + 1, "status": F.lit("processing")})
 
 
 def abandoned(claims: DataFrame, answered: DataFrame, finished_at: Column) -> DataFrame:

@@ -295,8 +295,10 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "ingest_explode": (["ingested"], "SELECT prompt_id, batch_id, seq, prompt_text, created_at FROM ingested"),
     "request_triage": (
         ["reported"],
-        """SELECT request_id, status_code, error_code, error, error_seq,
-             CASE WHEN error_code IS NULL THEN CAST(len(prompts) AS BIGINT) END AS accepted FROM reported""",
+        f"""SELECT request_id, status_code, error_code, error, error_seq,
+             CASE WHEN error_code IS NULL THEN {_stable("request_id")} END AS batch_id,
+             CASE WHEN error_code IS NULL THEN CAST(len(prompts) AS BIGINT) END AS accepted,
+             CASE WHEN error_code IS NULL THEN 'pending' END AS status FROM reported""",
     ),
     "request_rejects": (
         ["reported"],
@@ -444,6 +446,17 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
            FROM customer LEFT JOIN counts k ON k.batch_id = CAST(c_custkey AS VARCHAR)
              LEFT JOIN completed d ON d.batch_id = CAST(c_custkey AS VARCHAR)""",
     ),
+    "status_with_result": (
+        ["counts", "result_items"],
+        """SELECT CAST(c_custkey AS VARCHAR) AS batch_id,
+             CASE WHEN d.batch_id IS NULL THEN 'pending' ELSE 'completed' END AS status, coalesce(k.total, 0) AS total,
+             coalesce(k.succeeded, 0) AS succeeded, coalesce(k.failed, 0) AS failed,
+             CASE WHEN d.batch_id IS NOT NULL THEN TIMESTAMP '2024-01-20 00:00:00' END AS completed_at,
+             CASE WHEN d.batch_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS parts, d.n_results
+           FROM customer LEFT JOIN counts k ON k.batch_id = CAST(c_custkey AS VARCHAR)
+             LEFT JOIN (SELECT batch_id, count(prompt_id) AS n_results FROM result_items GROUP BY batch_id) d
+               ON d.batch_id = CAST(c_custkey AS VARCHAR)""",
+    ),
     "batch_lookup": (
         ["checked"],
         f"""SELECT id, i.batch_id, CASE WHEN i.batch_id IS NULL THEN 'malformed' WHEN v.batch_id IS NULL THEN 'not_found'

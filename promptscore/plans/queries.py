@@ -398,6 +398,24 @@ def batch_status(spark, folder):
     )
 
 
+@query
+def status_with_result(spark, folder):
+    """The status view right after a run, with the documents it wrote."""
+    completed = finalize.completed_of(_documents(spark, folder))
+    view = report.batch_status(standins.batches(spark, folder), _log_state(spark, folder), completed)
+    results = F.from_json("result", _DOCUMENT)["results"]
+    return view.select(
+        "batch_id",
+        "status",
+        "total",
+        "succeeded",
+        "failed",
+        "completed_at",
+        "parts",
+        F.size(results).cast("bigint").alias("n_results"),
+    ).withColumn("n_results", F.when(F.col("parts").isNotNull(), F.col("n_results")))
+
+
 @query
 def batch_lookup(spark, folder):
     view = validate.batch_verdicts(standins.document_prompts(spark, folder), DEFAULTS).select(

@@ -92,16 +92,15 @@ def _one_round(spark, active, options, make_transport, root, number, now, limit,
     as_of = _as_of(now)
     path = lambda name: f"{root}/{name}/round={number}"
     resumed = tables.committed(spark, path("claims"))
-    if limit is None:
+    if limit is None and not resumed:
         chosen = state.claim(active, as_of)
         waiting = active.filter(F.col("next_retry_at") > as_of)
-        if not resumed:
-            tables.put(chosen.select("prompt_id", "batch_id"), path("claims"))
+        tables.put(chosen.select("prompt_id", "batch_id"), path("claims"))
     else:
         if not resumed:
             tables.put(state.claim(active, as_of, limit).select("prompt_id", "batch_id"), path("claims"))
         ids = tables.get(spark, path("claims")).select("prompt_id")
-        chosen = state.claim(active.join(ids, "prompt_id", "left_semi"), as_of)
+        chosen = state.taken(active.join(ids, "prompt_id", "left_semi"))
         waiting = active.join(ids, "prompt_id", "left_anti")
 
     claims = chosen.withColumns(

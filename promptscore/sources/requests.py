@@ -62,15 +62,18 @@ def parse(requests: DataFrame, options: Options) -> DataFrame:
 
 
 def triage(parsed: DataFrame) -> DataFrame:
-    """What a caller would be told about each request."""
+    """What a caller would be told about each request: an acknowledgement or the error."""
     code = F.col("error_code")
+    accepted = code.isNull()
     return parsed.select(
         "request_id",
         v.status_code(code).alias("status_code"),
         "error_code",
         v.error_message(code).alias("error"),
         "error_seq",
-        F.when(code.isNull(), F.size("prompts").cast("bigint")).alias("accepted"),
+        F.when(accepted, stable_uuid(F.col("request_id"))).alias("batch_id"),
+        F.when(accepted, F.size("prompts").cast("bigint")).alias("accepted"),
+        F.when(accepted, F.lit("pending")).alias("status"),
     )
 
 

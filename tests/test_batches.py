@@ -94,6 +94,20 @@ def test_status_view(spark):
     assert got == {"mixed": ("completed", 2, 1, 1, datetime(2024, 1, 2)), "empty": ("pending", 0, 0, 0, None)}
 
 
+def test_status_shows_the_document_when_one_holds_all(spark):
+    rows = state(spark, BATCHES)
+    once = finalize_status(spark, rows, Options())
+    assert json.loads(once["mixed"].result)["total"] == 2 and once["all"].parts == 1 and once["open"].result is None
+    split = finalize_status(spark, rows, Options(max_batch_size=5))
+    assert split["all"].parts == 3 and split["all"].result is None and split["all"].status == "completed"
+
+
+def finalize_status(spark, rows, options):
+    known = spark.createDataFrame([(b, "pending", None) for b in BATCHES], "batch_id string, status string, completed_at timestamp_ntz")
+    completed = fin.completed_of(fin.result_documents(rows, as_of(), options))
+    return {r.batch_id: r for r in report.batch_status(known, rows, completed).collect()}
+
+
 def test_lookup(spark):
     known, other = "b1f20c3d-0000-4000-8000-0123456789ab", "00000000-0000-4000-8000-0123456789ab"
     view = spark.createDataFrame([(known, 2)], "batch_id string, succeeded bigint")
