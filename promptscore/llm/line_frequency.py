@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptscore.llm.words import ascii_lower, whole, words_of
+from promptscore.llm.words import ascii_lower, split_join, whole, words_of
 
 WINDOW = 8
 
@@ -146,7 +146,7 @@ def quality_rules(
         "_source_text",
     ).drop("_source_text")
     worn = depletion(own, "_source_text", "_source_host", min_docs, share_of)
-    joined = base.join(worn, ["_host", "_text"], "left")
+    joined = split_join(base, worn, ["_host", "_text"], "left")
     return joined.select(
         id_col,
         "n_words",

@@ -5,18 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptscore.llm import line_frequency, sql
+from promptscore.llm import line_frequency, simhash, sql
 from promptscore.llm.words import table
+from promptscore.session import new_work_dir
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), new_work_dir(spark, "op2"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
+        "op2_simhash": op2_simhash,
     }
 
 

@@ -1,7 +1,9 @@
-"""Column expressions that several operators share. Words are runs of characters other than ASCII white space."""
+"""Expressions and helpers that several operators share. Words are runs of characters other than ASCII white space."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def digest(text: Column) -> Column:
-    """128 bits of a text, as two longs in a struct; copies of a text share it."""
-    return F.struct(F.xxhash64(text).alias("hi"), F.xxhash64(F.lit("second"), text).alias("lo"))
+def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equal join in which both sides get a shuffle of their own.
+
+    A side that was grouped by the same keys would be joined where it lies, and adaptive execution
+    cannot split a hot key of such a join. A hash of the keys as one more key makes it shuffle again.
+    """
+    hashed = F.xxhash64(*[F.col(k) for k in keys])
+    joined = left.withColumn("_join_hash", hashed).join(
+        right.withColumn("_join_hash", hashed), [*keys, "_join_hash"], how
+    )
+    return joined.drop("_join_hash")
+
+
+def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and read again after a lost executor."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
