@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import line_frequency, simhash, sql
+from promptscore.llm import line_frequency, simhash, sql, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -25,12 +25,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = unit_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return cut.select(
+        "doc_id", "text", F.size("removed_spans").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op2_simhash": op2_simhash,
+        "op4_unit_dedup": op4_unit_dedup,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_line_frequency": sql.OP1}
+    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4}

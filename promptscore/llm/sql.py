@@ -48,3 +48,23 @@ SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat
        CAST(floor(coalesce(x.lost, 0) * 100 / greatest(coalesce(x.total, 1), 1)) AS BIGINT) AS lost_percent
 FROM judged j LEFT JOIN worn x ON j.source IS NOT DISTINCT FROM x.source AND j.text = x.text
 """
+
+OP4 = r"""
+WITH l AS (
+  SELECT doc_id, lines, generate_subscripts(lines, 1) AS i, unnest(lines) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), u AS (
+  SELECT doc_id, i, line, regexp_extract_all(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words,
+         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start
+  FROM l
+), r AS (
+  SELECT *, len(words) >= 20 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS gone
+  FROM u
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+       CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+       coalesce(string_agg(concat(CAST(start AS BIGINT), '-', CAST(start AS BIGINT) + length(line)), ',' ORDER BY i)
+                FILTER (WHERE gone), '') AS removed
+FROM r GROUP BY doc_id
+"""
