@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import line_frequency, simhash, sql, unit_dedup
+from promptscore.llm import line_frequency, pu_quality, simhash, sql, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -33,11 +33,17 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return pu_quality.quality_scores(spark, docs, labels, new_work_dir(spark, "op7"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op2_simhash": op2_simhash,
         "op4_unit_dedup": op4_unit_dedup,
+        "op7_pu_quality": op7_pu_quality,
     }
 
 
