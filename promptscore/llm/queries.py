@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import line_frequency, pu_quality, simhash, sql, unit_dedup
+from promptscore.llm import byte_bpe, line_frequency, pu_quality, simhash, sql, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -38,12 +39,19 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_scores(spark, docs, labels, new_work_dir(spark, "op7"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coder = byte_bpe.coder(spark, path, public_tokenizers.PATTERN)
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), coder)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op2_simhash": op2_simhash,
         "op4_unit_dedup": op4_unit_dedup,
         "op7_pu_quality": op7_pu_quality,
+        "op8_byte_bpe": op8_byte_bpe,
     }
 
 
