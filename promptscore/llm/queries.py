@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, line_frequency, pu_quality, simhash, sql, unit_dedup
+from promptscore.llm import byte_bpe, contamination, line_frequency, pu_quality, simhash, sql, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -45,6 +45,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), coder)
 
 
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -52,8 +56,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_unit_dedup": op4_unit_dedup,
         "op7_pu_quality": op7_pu_quality,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_contamination": op10_contamination,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4}
+    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4, "op10_contamination": sql.OP10}

@@ -68,3 +68,24 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT g
                 FILTER (WHERE gone), '') AS removed
 FROM r GROUP BY doc_id
 """
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark
+), si AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)
+), k AS (SELECT DISTINCT k FROM si), sd AS (
+  SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+  FROM (SELECT doc_id, w, k.k, unnest(range(1, len(w) - k.k + 2)) AS p FROM d, k WHERE len(w) >= k.k)
+), n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id)
+SELECT sd.doc_id, n.item_id, n.item_shingles, count(*) AS shared
+FROM si JOIN sd USING (k, s) JOIN n USING (item_id)
+GROUP BY sd.doc_id, n.item_id, n.item_shingles HAVING count(*) * 10 >= n.item_shingles * 8
+"""
