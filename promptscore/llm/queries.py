@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, line_frequency, pu_quality, simhash, sql, unit_dedup
+from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, simhash, sql, token_records, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -34,6 +34,17 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_work_dir(spark, "op5")
+    encoder = spark.sparkContext.broadcast(token_records.StretchEncoder(public_tokenizers.path("word_bpe_49k.json")))
+    manifest = token_records.write_records(spark, table(spark, sf_dir, "documents"), encoder, root)
+    return token_records.read_records(spark, root, manifest)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return pu_quality.quality_scores(spark, docs, labels, new_work_dir(spark, "op7"))
@@ -54,6 +65,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_frequency": op1_line_frequency,
         "op2_simhash": op2_simhash,
         "op4_unit_dedup": op4_unit_dedup,
+        "op5_token_records": op5_token_records,
+        "op6_main_text": op6_main_text,
         "op7_pu_quality": op7_pu_quality,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_contamination": op10_contamination,
