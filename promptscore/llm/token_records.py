@@ -74,7 +74,8 @@ class StretchEncoder:
         memory = self.memory
         cut = [_STRETCH.findall(t or "") for t in texts]
         new = {s for stretches in cut for s in stretches if s not in memory}
-        ends = {s: s[:-1] for s in new if s[-1] in ".," and s[-2:-1].isalpha()}  # encoded as two parts
+        # a Latin letter and the mark after it are always separate tokens
+        ends = {s: s[:-1] for s in new if s[-1] in ".," and s[-2:-1].isalpha() and len(s[-2].lower()) == 1 and s[-2] < "ɐ"}
         plain = [s for s in {ends.get(s, s) for s in new} | {s[-1] for s in ends} if s not in memory]
         for s, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
             memory[s] = np.array(e.ids, "<u4").tobytes()
