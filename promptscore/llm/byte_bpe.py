@@ -181,6 +181,12 @@ def coder(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast(ByteBPE(load_ranks(path), pattern))
 
 
+def _int_lists(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
+    values = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def encode_documents(docs: DataFrame, coder: Broadcast, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each whole text as a list of ints."""
     kept = docs.drop(out)
@@ -188,17 +194,37 @@ def encode_documents(docs: DataFrame, coder: Broadcast, text: str = "text", out:
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder.value.encode
         for batch in batches:
-            lists = [encode(x.as_py()) for x in batch.column(at)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
-            values = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            ids = _int_lists([coder.value.encode(x.as_py()) for x in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
+def tokenised(docs: DataFrame, coder: Broadcast, text: str = "text") -> DataFrame:
+    """``docs`` with token_ids, n_tokens and decodes: whether the ids decode to the bytes of the text."""
+    kept = docs.drop("token_ids", "n_tokens", "decodes")
+    at = kept.columns.index(text)
+    added = [
+        T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("decodes", T.BooleanType()),
+    ]
+    schema = T.StructType([*kept.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder.value
+        for batch in batches:
+            texts = [x.as_py() or "" for x in batch.column(at)]
+            lists = [bpe.encode(t) for t in texts]
+            same = [bpe.decode(i.tolist()) == t.encode("utf-8", "surrogatepass") for i, t in zip(lists, texts)]
+            counts = pa.array([len(i) for i in lists], pa.int64())
+            columns = [*batch.columns, _int_lists(lists), counts, pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def decode_documents(docs: DataFrame, coder: Broadcast, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that the ids stand for; null ids decode to nothing."""
     kept = docs.drop(out)

@@ -155,19 +155,16 @@ def fit(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE)
     return raw
 
 
-def quality_scores(
+def train(
     spark: SparkSession,
-    docs: DataFrame,
+    vectors_: DataFrame,
     labels: DataFrame,
     root: str,
     id_col: str = "doc_id",
-    text: str = "text",
     label: str = "quality",
     folds: int = FOLDS,
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``; labels of the held-out fold are never read."""
-    held = written(spark, vectors(docs, id_col, text), f"{root}/vectors")
+) -> np.ndarray:
+    """Weights from the training folds of ``vectors_``; labels of the held-out fold are never read."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds))
         .groupBy(id_col)
@@ -175,16 +172,36 @@ def quality_scores(
     )
     share = known.agg(F.avg("_label")).first()[0]
     prior = min(0.99, max(0.01, share if share is not None else 0.5))
-    rows = split_join(held.where(~held_out(id_col, folds)), known, [id_col], "left").select(
+    rows = split_join(vectors_.where(~held_out(id_col, folds)), known, [id_col], "left").select(
         "x", F.coalesce(F.col("_label") == 1, F.lit(False)).alias("positive")
     )
-    weights = fit(written(spark, rows, f"{root}/training"), prior)
+    return fit(written(spark, rows, f"{root}/training"), prior)
+
+
+def _chances(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+
+
+def quality_scores(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    root: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    folds: int = FOLDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(id, held_out, score, predicted) for every row of ``docs``."""
+    held = written(spark, vectors(docs, id_col, text), f"{root}/vectors")
+    weights = train(spark, held, labels, root, id_col, label, folds)
     schema = T.StructType([held.schema[0], T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = 1 / (1 + np.exp(-np.clip(_matrix(batch.column(1)) @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=schema.names)
+            scores = pa.array(_chances(_matrix(batch.column(1)), weights))
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=schema.names)
 
     return held.mapInArrow(score, schema).select(
         id_col,
@@ -192,3 +209,28 @@ def quality_scores(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_quality(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    root: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    folds: int = FOLDS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; texts are scored where they lie, without a join."""
+    held = written(spark, vectors(docs, id_col, text), f"{root}/vectors")
+    weights = train(spark, held, labels, root, id_col, label, folds)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([features(t.as_py()) for t in batch.column(at)]).astype(np.float64)
+                yield batch.filter(pa.array(_chances(x, weights) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,18 +60,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long."""
-    own = docs.select(F.col(id_col), F.col(text).alias("_text"))
-    schema = T.StructType([own.schema[0], T.StructField("fp", T.LongType())])
+    """(id, row_hi, row_lo, fp): the fingerprint of every row as a signed long, and a hash of its id and text."""
+    own = docs.select(F.col(id_col), *row_hashes(id_col, text), F.col(text).alias("_text"))
+    schema = T.StructType([*own.schema.fields[:3], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=[id_col, "fp"])
+            prints = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
 
+def row_hashes(id_col: str, text: str) -> list[Column]:
+    return [F.xxhash64(id_col, text).alias("row_hi"), F.xxhash64(F.lit("row"), text, id_col).alias("row_lo")]
+
+
 class Planes:
     """Fingerprints of several groups as vertical bit planes; a tile is a word of 64 lanes of one group."""
 
@@ -230,6 +234,24 @@ def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     )
 
 
+def linked(
+    spark: SparkSession,
+    docs: DataFrame,
+    root: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    block: int = BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """The table of ``fingerprints``, and (fp, root): the component of each distinct fingerprint."""
+    held = written(spark, fingerprints(docs, id_col, text, shingle), f"{root}/prints")
+    distinct = held.select("fp").distinct()
+    stars = components(spark, near_links(distinct, radius, block), f"{root}/components")
+    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
+    return held, rooted.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -241,13 +263,28 @@ def near_duplicates(
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per document: id, fp, component (least id reachable by links). Tables go under ``root``."""
-    held = written(spark, fingerprints(docs, id_col, text, shingle), f"{root}/prints")
-    distinct = held.groupBy("fp").agg(F.min(id_col).alias("least"))
-    links = near_links(distinct.select("fp"), radius, block)
-    stars = components(spark, links, f"{root}/components")
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = split_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "component")
+    held, rooted = linked(spark, docs, root, id_col, text, shingle, radius, block)
+    least = held.groupBy("fp").agg(F.min(id_col).alias("least")).join(rooted, "fp")
+    component = least.groupBy("root").agg(F.min("least").alias("component"))
+    classes = split_join(least.select("fp", "root"), component, ["root"]).select("fp", "component")
     return split_join(held, classes, ["fp"]).select(id_col, "fp", "component")
+
+
+def keep_one(
+    spark: SparkSession,
+    docs: DataFrame,
+    root: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``docs`` with one document of each component: the least id (nulls last), one of equal rows."""
+    held, rooted = linked(spark, docs, root, id_col, text, shingle, radius, block)
+    first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row_hi", "row_lo")
+    best = held.groupBy("fp").agg(F.min(first).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("f"))
+    kept = best.select("f.row_hi", "f.row_lo")
+    keyed = docs.withColumns({c: e for c, e in zip(("row_hi", "row_lo"), row_hashes(id_col, text))})
+    chosen = keyed.join(kept, ["row_hi", "row_lo"], "left_semi").dropDuplicates(["row_hi", "row_lo"])
+    return chosen.select(*docs.columns)
