@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, simhash, sql, token_records, unit_dedup
+from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -26,6 +26,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(spark, table(spark, sf_dir, "documents"), new_work_dir(spark, "op3"))
+    sizes = F.transform("removed", lambda s: s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = unit_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
@@ -64,6 +76,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op2_simhash": op2_simhash,
+        "op3_repeats": op3_repeats,
         "op4_unit_dedup": op4_unit_dedup,
         "op5_token_records": op5_token_records,
         "op6_main_text": op6_main_text,
