@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, unit_dedup
+from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -68,6 +68,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), coder)
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = transcripts.sections(table(spark, sf_dir, "conversations"))
+    return transcripts.format_sections(turns, transcripts.learn(turns))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +87,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_main_text": op6_main_text,
         "op7_pu_quality": op7_pu_quality,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_transcripts": op9_transcripts,
         "op10_contamination": op10_contamination,
     }
 
