@@ -4,9 +4,10 @@ Every text gets a 64-bit fingerprint of its lower-cased (A-Z) word shingles, rep
 set when more than half of the shingles' XXH64 have it. Texts link when their fingerprints differ in at
 most ``radius`` bits, and linked texts form components.
 
-Candidates: the 64 bits are cut into radius + 2 blocks. Two fingerprints within the radius agree on at
-least two whole blocks, so each distinct fingerprint is filed once for every pair of blocks under the
-bits of that pair (ten files of some 26 bits for radius 3). No link can be missed.
+Candidates of ``near_duplicates``: the 64 bits are cut into radius + 2 blocks. Two fingerprints within the
+radius agree on at least two whole blocks, so each distinct fingerprint is filed once for every pair of
+blocks under the bits of that pair (ten files of some 26 bits for radius 3). No link can be missed.
+``keep_one`` takes longer fingerprints and more files for texts that are less alike.
 
 Comparison: a file entry's fingerprints are laid out as vertical bit planes, 64 lanes to a word. A query
 fingerprint is compared with 64 lanes at once: carry-save adders count differing bits two planes at a
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptscore.llm.components import components
+from promptscore.llm.shingles import mix
 from promptscore.llm.words import split_join, written
 
 SHINGLE = 3
@@ -42,32 +44,43 @@ BLOCK = 2048
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    size = min(shingle, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: len(words) - size] + 1))
-    hash_of, set_bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """The fingerprint as signed 64-bit words; the first is from XXH64 itself, more from remixed hashes."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return [0] * words
+    size = min(shingle, len(tokens))
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[: len(tokens) - size] + 1))
+    hash_of, set_bits = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
     for at in range(0, len(starts), 1 << 16):
         pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[at + size - 1 : at + size - 1 + (1 << 16)].tolist())
         hashes = np.array([hash_of(joined[a:b], 42) for a, b in pairs], np.uint64)
-        set_bits += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        for word in range(words):
+            own = mix(hashes + np.uint64(word)) if word else hashes
+            bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, 64)
+            set_bits[word] += bits.sum(axis=0, dtype=np.int64)
     bits = (set_bits * 2 > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, row_hi, row_lo, fp): the fingerprint of every row as a signed long, and a hash of its id and text."""
+def _names(words: int) -> list[str]:
+    return [f"f{word}" for word in range(words)]
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = 1
+) -> DataFrame:
+    """(id, row_hi, row_lo, f0, f1 ...): the fingerprint of every row, and a hash of its id and text."""
     own = docs.select(F.col(id_col), *row_hashes(id_col, text), F.col(text).alias("_text"))
-    schema = T.StructType([*own.schema.fields[:3], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*own.schema.fields[:3], *[T.StructField(f, T.LongType()) for f in _names(words)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints], names=schema.names)
+            prints = np.array([fingerprint(x.as_py(), shingle, words) for x in batch.column(3)], np.int64)
+            columns = [pa.array(column) for column in prints.reshape(-1, words).T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
@@ -90,29 +103,33 @@ class Planes:
         self.tiles_of = tiles_of
         self.tile_row = np.zeros(int(tiles_of.sum()), np.int64)
         self.tile_row[self.tile[self.lane == 0]] = np.flatnonzero(self.lane == 0)
-        lanes = np.zeros((len(self.tile_row), 64), np.uint64)
+        words = prints.shape[1]
+        lanes = np.zeros((len(self.tile_row), 64, words), np.uint64)
         lanes[self.tile, self.lane] = prints
         full = np.zeros((len(self.tile_row), 64), np.uint8)
         full[self.tile, self.lane] = 1
         self.full = np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
-        self.planes = np.empty((64, len(self.tile_row)), np.uint64)
-        for bit in range(64):
-            column = ((lanes >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
+        self.planes = np.empty((64 * words, len(self.tile_row)), np.uint64)
+        for bit in range(64 * words):
+            column = ((lanes[:, :, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.uint8)
             self.planes[bit] = np.packbits(column, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
     def near(self, queries: np.ndarray, tiles: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the (query, tile) items have lanes within the radius, and those lanes as words."""
         live = np.arange(len(tiles))
-        counters = [np.zeros(len(tiles), np.uint64) for _ in range(radius.bit_length())]
+        size = max(1, radius.bit_length())
+        head = (1 << size) - 1 - radius  # counters start here, so that the first bit past the radius overflows
+        counters = [np.full(len(tiles), _ALL if head >> k & 1 else 0, np.uint64) for k in range(size)]
         past = ~self.full[tiles]
-        for bit in range(0, 64, 2):
+        for bit in range(0, len(self.planes), 2):
             first, second = (
-                self.planes[b][tiles] ^ (((queries >> np.uint64(b)) & np.uint64(1)) * _ALL) for b in (bit, bit + 1)
+                self.planes[b][tiles] ^ (((queries[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) * _ALL)
+                for b in (bit, bit + 1)
             )
             ones = counters[0]
             carry = (ones & first) | (ones & second) | (first & second)
             counters[0] = ones ^ first ^ second
-            for k in range(1, len(counters)):
+            for k in range(1, size):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             past |= carry
             if bit % 16 == 14:
@@ -121,12 +138,6 @@ class Planes:
                     live, tiles, queries, past = live[kept], tiles[kept], queries[kept], past[kept]
                     counters = [c[kept] for c in counters]
         within = ~past
-        if radius & (radius + 1):  # the counters reach beyond the radius
-            value = [counters[k] for k in range(len(counters))]
-            over = np.zeros(len(within), np.uint64)
-            for n in range(radius + 1, 1 << len(value)):
-                over |= np.bitwise_and.reduce([v if n >> k & 1 else ~v for k, v in enumerate(value)])
-            within &= ~over
         hit = within != 0
         return live[hit], within[hit]
 
@@ -173,28 +184,26 @@ def link_groups(prints: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, ste
     return labels
 
 
-def _links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def _links(radius: int, words: int):
+    """Links within groups of rows (key, i, j, f0 ...), which come sorted by group."""
 
-        def close(rows: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
-            bounds = np.concatenate(([0], edge, [len(rows)]))
-            prints = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
-            labels = link_groups(prints, np.diff(bounds), radius)
-            moved = labels != np.arange(len(labels))
-            signed = prints.view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(signed[moved]), pa.array(signed[labels[moved]])], names=["a", "b"]
-            )
+    def close(rows: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        sizes = np.diff(np.concatenate(([0], edge, [len(rows)])))
+        signed = np.ascontiguousarray(rows[np.repeat(sizes > 1, sizes), 3:])
+        labels = link_groups(signed.view(np.uint64), sizes[sizes > 1], radius)
+        moved = labels != np.arange(len(labels))
+        columns = [*signed[moved].T, *signed[labels[moved]].T]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_ends(words))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            held.append(rows)
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
             whole = np.concatenate(held)
-            last = np.flatnonzero((whole[:, :4] != whole[-1, :4]).any(axis=1))
+            last = np.flatnonzero((whole[:, :3] != whole[-1, :3]).any(axis=1))
             done = last[-1] + 1 if len(last) else 0
             if done:
                 yield close(whole[:done])
@@ -205,51 +214,85 @@ def _links(radius: int):
     return run
 
 
-def block_masks(radius: int = RADIUS) -> list[int]:
-    """Bit masks of all pairs of the radius + 2 blocks, as signed longs."""
+def _ends(words: int) -> list[str]:
+    return [f"{end}{word}" for end in "ab" for word in range(words)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def block_masks(radius: int = RADIUS) -> list[list[int]]:
+    """Masks of all pairs of the radius + 2 blocks of one word: fingerprints within the radius agree on one."""
     edges = [64 * i // (radius + 2) for i in range(radius + 3)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    unsigned = [a | b for a, b in combinations(blocks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in unsigned]
+    return [[_signed(a | b)] for a, b in combinations(blocks, 2)]
+
 
+def sampled_masks(words: int, files: int, bits: int) -> list[list[int]]:
+    """Masks of ``files`` random choices of ``bits`` bits."""
+    chance, out = np.random.default_rng(64), []
+    for _ in range(files):
+        masks = [0] * words
+        for bit in chance.choice(64 * words, bits, replace=False).tolist():
+            masks[bit // 64] |= 1 << bit % 64
+        out.append([_signed(m) for m in masks])
+    return out
 
-def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all fingerprints within the radius of each other; ``prints`` has distinct fp."""
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(block_masks(radius))])
-    filed = prints.select("fp", F.explode(masks).alias("f")).select(
-        F.col("f.t").alias("t"), F.col("fp").bitwiseAND(F.col("f.m")).alias("key"), "fp"
+
+def _node(columns: list[str]) -> Column:
+    """One long for a fingerprint: itself, or a hash of its words."""
+    return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
+
+
+def near_links(
+    spark: SparkSession, prints: DataFrame, masks: list[list[int]], root: str, radius: int = RADIUS, block: int = BLOCK
+) -> DataFrame:
+    """(a, b): links that join the distinct fingerprints within the radius that agree under one of the masks."""
+    names = _names(len(masks[0]))
+    listed = F.array(*[F.struct(*[F.lit(m).alias(f"m{k}") for k, m in enumerate(mask)]) for mask in masks])
+    filed = prints.select(*names, F.posexplode(listed).alias("t", "m")).select(
+        F.xxhash64("t", *[F.col(f).bitwiseAND(F.col(f"m.m{k}")) for k, f in enumerate(names)]).alias("key"), *names
     )
-    sizes = filed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
+    # The few entries above the block are a table of their own, whose size Spark knows when it plans the join.
+    large = written(
+        spark, filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), f"{root}/large"
+    )
+    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     groups = (
-        split_join(filed, sizes, ["t", "key"])
-        .select("t", "key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp", F.lit(7)), parts).alias("slot"))
+        filed.join(large, "key", "left")
+        .select("key", *names, parts.alias("parts"), F.pmod(F.xxhash64(*names, F.lit(7)), parts).alias("slot"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("t", "key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "fp")
+        .select("key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), *names)
     )
-    return (
-        groups.repartition("t", "key", "i", "j")
-        .sortWithinPartitions("t", "key", "i", "j", "fp")
-        .mapInArrow(_links(radius), "a long, b long")
+    found = (
+        groups.repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", *names)
+        .mapInArrow(_links(radius, len(names)), ", ".join(f"{c} long" for c in _ends(len(names))))
     )
+    ends = _ends(len(names))
+    return found.select(_node(ends[: len(names)]).alias("a"), _node(ends[len(names) :]).alias("b"))
 
 
 def linked(
     spark: SparkSession,
     docs: DataFrame,
     root: str,
-    id_col: str = "doc_id",
-    text: str = "text",
-    shingle: int = SHINGLE,
-    radius: int = RADIUS,
-    block: int = BLOCK,
+    id_col: str,
+    text: str,
+    shingle: int,
+    masks: list[list[int]],
+    radius: int,
+    block: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """The table of ``fingerprints``, and (fp, root): the component of each distinct fingerprint."""
-    held = written(spark, fingerprints(docs, id_col, text, shingle), f"{root}/prints")
-    distinct = held.select("fp").distinct()
-    stars = components(spark, near_links(distinct, radius, block), f"{root}/components")
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-    return held, rooted.select("fp", F.coalesce("root", "fp").alias("root"))
+    """(id, row_hi, row_lo, node, f0 ...) of every row, and (node, root): the component of each fingerprint."""
+    names = _names(len(masks[0]))
+    prints = fingerprints(docs, id_col, text, shingle, len(names))
+    held = written(spark, prints.withColumn("node", _node(names)), f"{root}/prints")
+    distinct = held.select("node", *names).distinct()
+    stars = components(spark, near_links(spark, distinct, masks, root, radius, block), f"{root}/components")
+    rooted = distinct.select("node").join(stars, "node", "left")
+    return held, rooted.select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(
@@ -262,12 +305,12 @@ def near_duplicates(
     radius: int = RADIUS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: id, fp, component (least id reachable by links). Tables go under ``root``."""
-    held, rooted = linked(spark, docs, root, id_col, text, shingle, radius, block)
-    least = held.groupBy("fp").agg(F.min(id_col).alias("least")).join(rooted, "fp")
+    """One row per document: id, fp (64 bits), component (least id reachable by links). No link is missed."""
+    held, rooted = linked(spark, docs, root, id_col, text, shingle, block_masks(radius), radius, block)
+    least = held.groupBy("node").agg(F.min(id_col).alias("least")).join(rooted, "node")
     component = least.groupBy("root").agg(F.min("least").alias("component"))
-    classes = split_join(least.select("fp", "root"), component, ["root"]).select("fp", "component")
-    return split_join(held, classes, ["fp"]).select(id_col, "fp", "component")
+    classes = split_join(least.select("node", "root"), component, ["root"]).select("node", "component")
+    return split_join(held, classes, ["node"]).select(id_col, F.col("f0").alias("fp"), "component")
 
 
 def keep_one(
@@ -276,14 +319,30 @@ def keep_one(
     root: str,
     id_col: str = "doc_id",
     text: str = "text",
-    shingle: int = SHINGLE,
-    radius: int = RADIUS,
+    shingle: int = 5,
+    words: int = 4,
+    radius: int = 50,
+    files: int = 64,
+    bits: int = 14,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``docs`` with one document of each component: the least id (nulls last), one of equal rows."""
-    held, rooted = linked(spark, docs, root, id_col, text, shingle, radius, block)
+    """``docs`` with one document of each component: the least id (nulls last), one of equal rows.
+
+    For a similarity of 0.8 instead of near-identity, fingerprints of five-word shingles have 256 bits, of
+    which texts with that Jaccard similarity differ in some 39, unrelated ones in 128. The pairs of blocks
+    that would miss none are too many here; instead each fingerprint is filed under ``files`` random choices
+    of ``bits`` bits, and two texts are compared with a chance of 97 % at similarity 0.8, 99.9 % at 0.87.
+    """
+    masks = sampled_masks(words, files, bits)
+    held, rooted = linked(spark, docs, root, id_col, text, shingle, masks, radius, block)
     first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row_hi", "row_lo")
-    best = held.groupBy("fp").agg(F.min(first).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("f"))
+    best = (
+        held.groupBy("node")
+        .agg(F.min(first).alias("first"))
+        .join(rooted, "node")
+        .groupBy("root")
+        .agg(F.min("first").alias("f"))
+    )
     kept = best.select("f.row_hi", "f.row_lo")
     keyed = docs.withColumns({c: e for c, e in zip(("row_hi", "row_lo"), row_hashes(id_col, text))})
     chosen = keyed.join(kept, ["row_hi", "row_lo"], "left_semi").dropDuplicates(["row_hi", "row_lo"])
