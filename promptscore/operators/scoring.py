@@ -24,6 +24,7 @@ class Response(NamedTuple):
 Transport = Callable[[list[str]], list[Response]]
 
 CALL_SIZE = 64
+TASKS_PER_CORE = 4
 
 
 def length_echo(prompt: Column) -> Column:
@@ -50,13 +51,16 @@ def score(
 ) -> DataFrame:
     """Send every claimed prompt once and append the raw response columns.
 
-    ``make_transport`` builds the transport once per task. A failing call marks its prompts with the
-    error instead of failing the task. ``pool_size`` fixes the number of tasks, and thus of calls in
-    flight on the whole cluster, by hashing on the unique prompt id. Run exactly one action over the
-    result and write it: each further action would call the endpoint again.
+    ``make_transport`` builds the transport once per task. A failing call marks its prompt with the
+    error instead of failing the task. ``pool_size`` bounds the tasks that call at the same time: with
+    fewer than the cluster has cores there are so many tasks, otherwise several per core, so that a
+    lost one repeats little. A transport may have several calls in flight of its own; the bound on
+    those is cores times the transport's. Run exactly one action over the result and write it: each
+    further action would call the endpoint again.
     """
     if pool_size is not None:
-        claims = claims.repartition(pool_size, "prompt_id")
+        cores = claims.sparkSession.sparkContext.defaultParallelism
+        claims = claims.repartition(pool_size if pool_size <= cores else TASKS_PER_CORE * cores, "prompt_id")
     kept = [f for f in claims.schema.fields if f.name != "finished_at"]
     added = [
         T.StructField("http_status", T.IntegerType()),
@@ -93,7 +97,7 @@ def score(
 def _call(transport: Transport, prompts: list[str]) -> list[Response]:
     try:
         answers = list(transport(prompts))
-    except Exception as error:  # any transport failure is a transient outcome of these prompts
+    except Exception as error:  # a transport that can tell its prompts apart answers for each and never raises
         return [Response(error=str(error) or type(error).__name__)] * len(prompts)
     if len(answers) != len(prompts):
         raise ValueError(f"transport returned {len(answers)} responses for {len(prompts)} prompts")

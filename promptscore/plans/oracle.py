@@ -252,28 +252,29 @@ _PARTS: dict[str, tuple[list[str], str]] = {
            FROM conversations u LEFT JOIN conversations a
              ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""",
     ),
-    "calls": (
+    "run": (
         ["queue"],
-        """SELECT q.prompt_id, r.round, ('0x' || substr(md5(q.prompt_text || ':' || r.round), 1, 2))::BIGINT AS draw
-           FROM queue q, range(1, 7) AS r(round)""",
-    ),
-    "replies": (
-        ["calls"],
-        """SELECT *, CASE WHEN draw < 128 THEN 'success' WHEN draw < 176 THEN 'rate_limited' WHEN draw < 240 THEN 'transient'
-             ELSE 'permanent' END AS outcome FROM calls""",
-    ),
-    "played": (
-        ["replies"],
-        """SELECT *, CASE WHEN outcome = 'success' THEN 'succeeded'
-             WHEN outcome = 'permanent' OR (outcome = 'transient' AND attempt >= 5) THEN 'failed' ELSE 'pending' END AS status
-           FROM (SELECT *, CAST(1 + coalesce(sum(CASE WHEN outcome = 'transient' THEN 1 ELSE 0 END) OVER (PARTITION BY prompt_id
-             ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS attempt FROM replies)""",
-    ),
-    "last_reply": (
-        ["played"],
-        """SELECT * FROM played p WHERE round = coalesce(
-             (SELECT min(round) FROM played q WHERE q.prompt_id = p.prompt_id AND q.status <> 'pending'), 6)""",
-    ),
+        """SELECT prompt_id, prompt_text, CAST(0 AS BIGINT) AS round, next_retry_at AS clock, next_retry_at AS due,
+             CAST(0 AS BIGINT) AS attempts, 'pending' AS status, CAST(NULL AS VARCHAR) AS outcome FROM queue
+           UNION ALL
+           SELECT prompt_id, prompt_text, r AS round, t AS clock,
+             CASE WHEN outcome = 'rate_limited' THEN t + to_milliseconds(5000)
+                  WHEN outcome = 'transient' THEN t + to_milliseconds(CASE WHEN attempts = 0 THEN 250 ELSE 250
+                    + CAST(('0x' || substr(md5(prompt_id || ':' || r), 1, 8)) AS BIGINT) % (ceiling - 250) END)
+                  ELSE due END AS due,
+             CASE WHEN outcome IS NULL OR outcome = 'rate_limited' THEN attempts ELSE attempts + 1 END AS attempts,
+             CASE WHEN outcome = 'success' THEN 'succeeded'
+                  WHEN outcome = 'permanent' OR (outcome = 'transient' AND attempts >= 4) THEN 'failed' ELSE 'pending' END AS status,
+             outcome
+           FROM (SELECT *, greatest(251, least(250 * CAST(2 ** attempts AS BIGINT), 30000)) AS ceiling,
+                   CASE WHEN due > t THEN NULL WHEN draw < 128 THEN 'success' WHEN draw < 176 THEN 'rate_limited'
+                        WHEN draw < 240 THEN 'transient' ELSE 'permanent' END AS outcome
+                 FROM (SELECT * EXCLUDE (outcome), ('0x' || substr(md5(prompt_text || ':' || r), 1, 2))::BIGINT AS draw
+                       FROM (SELECT *, round + 1 AS r, greatest(CASE WHEN round = 0 THEN clock
+                               ELSE clock + to_milliseconds(4000) END, min(due) OVER ()) AS t
+                             FROM run WHERE status = 'pending')))""",
+    ),
+    "settled": (["run"], "SELECT * FROM run WHERE status <> 'pending'"),
     "arrivals": (
         [],
         """SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, id) - 1 AS position, epoch_us(ts) AS us FROM (
@@ -338,14 +339,12 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
              lambda i: CAST(embedding[i + 1] AS DOUBLE) * (i * 37 % 64 - 31.5) / 64)), 3) + 0.0 AS score FROM embeddings""",
     ),
     "rounds_end_to_end": (
-        ["queue", "last_reply"],
-        """SELECT q.prompt_id, q.batch_id, q.seq, l.status,
-             CASE WHEN l.outcome = 'rate_limited' THEN l.attempt - 1 ELSE l.attempt END AS attempts,
+        ["queue", "settled"],
+        """SELECT q.prompt_id, q.batch_id, q.seq, l.status, l.attempts,
              CASE WHEN l.status = 'succeeded' THEN 'scored in round ' || l.round END AS response,
-             CASE l.outcome WHEN 'rate_limited' THEN 'retryable: rate limited (429): slow down (retry-after=2s)'
-               WHEN 'transient' THEN 'retryable: server error (503): busy'
+             CASE l.outcome WHEN 'transient' THEN 'retryable: server error (503): busy'
                WHEN 'permanent' THEN 'inference failed (400): refused' END AS error
-           FROM queue q JOIN last_reply l USING (prompt_id)""",
+           FROM queue q LEFT JOIN settled l USING (prompt_id)""",
     ),
     "classify_attempts": (
         ["classified"],
@@ -540,7 +539,7 @@ def _sql(name: str) -> str:
         order = ["doc_answers", *order]
         bodies |= {"doc_answers": _PARTS["doc_answers"][1], "answers": _WITH_DOCUMENTS}
     with_clause = ",\n".join(f"{n} AS ({bodies[n]})" for n in order)
-    return f"WITH {with_clause}\n{final}" if order else final
+    return f"WITH RECURSIVE {with_clause}\n{final}" if order else final
 
 
 def all_oracles() -> dict[str, str]:

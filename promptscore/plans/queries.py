@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptscore import schemas
+from promptscore.clock import ScriptedClock
 from promptscore.functions import outcomes as o
 from promptscore.functions.backoff import ceiling_ms
 from promptscore.operators import finalize, pacing, report, scoring, state, validate
@@ -27,7 +28,7 @@ ANY_LENGTH = Options(max_prompt_bytes=1 << 30)
 BODIES = Options(max_batch_size=12, body_limit=40_000)
 AS_OF = "2024-01-20 00:00:00"
 CLAIM_SIZE = 64
-ROUNDS = 6
+PACED = Options(poll_interval_ms=4_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -157,7 +158,7 @@ def _scripted(number: int) -> scoring.Transport:
         if draw < 128:
             return scoring.Response(200, '{"completion":"scored in round %d"}' % number)
         if draw < 176:
-            return scoring.Response(429, "slow down", "2")
+            return scoring.Response(429, "slow down", "5")
         if draw < 240:
             return scoring.Response(503, "busy")
         return scoring.Response(400, "refused")
@@ -167,16 +168,9 @@ def _scripted(number: int) -> scoring.Transport:
 
 @query
 def rounds_end_to_end(spark, folder):
+    """Until every prompt is settled: rounds are 4 s apart, and being limited asks for a wait of 5 s."""
     final = rounds.run_rounds(
-        spark,
-        _queue(spark, folder),
-        DEFAULTS,
-        _scripted,
-        new_work_dir(spark, "rounds"),
-        start=datetime(2024, 1, 20),
-        step=timedelta(minutes=1),
-        max_rounds=ROUNDS,
-        stamp_calls=False,
+        spark, _queue(spark, folder), PACED, _scripted, new_work_dir(spark, "rounds"), ScriptedClock(datetime(2024, 1, 20))
     )
     return final.select("prompt_id", "batch_id", "seq", "status", "attempts", "response", "error")
 

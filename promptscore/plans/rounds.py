@@ -1,13 +1,16 @@
-"""Retry rounds: claim what is due, score it, log the answers, carry on with what is still pending.
+"""Retry rounds: claim what is due, score it, log the answers, carry on until every prompt is settled.
 
 Tables under ``root``, one folder per round:
 
-``claims/round=N``    ids claimed in a round, written before its calls are made
-``attempts/round=N``  one row per claimed prompt with its raw response
-``active/round=N``    prompts still pending after the round
+``claims/round=N``             claimed ids with their slice and the time of the round, written before any call
+``attempts/round=N/slice=K``   one row per claimed prompt of a slice with its raw response
+``settled/round=N``            prompts that the round settled
+``active/round=N``             prompts still pending after the round
+``documents/round=N``          result documents of batches that became done in the round
 
-Only pending prompts are carried from round to round, so later rounds shrink to the prompts that
-need them. Settled prompts are read from the attempt log, where each has exactly one settling row.
+A slice is a fixed share of a round by hash of the prompt id. Each is one job with its own commit, so a
+crash loses the answers of the slice in flight and nothing else. Only pending prompts are carried from
+round to round; every attempt is decided once, and its result read back from the tables.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptscore.clock import SystemClock
 from promptscore.functions import outcomes as o
 from promptscore.functions.once import hold
-from promptscore.operators import scoring, settle, state
+from promptscore.operators import finalize, scoring, settle, state
 from promptscore.options import Options
 from promptscore.sources import tables
 
+SLICE_PROMPTS = 50_000
 _QUEUE = ["prompt_id", "batch_id", "seq", "prompt_text", "attempts", "max_attempts", "next_retry_at", "error"]
-_RAW = ["http_status", "retry_after", "body", "transport_error"]
+_STATE = ["prompt_id", "batch_id", "seq", "prompt_text", "status", "attempts", "response", "error", "next_retry_at"]
 
 
 def _as_of(moment: datetime):
@@ -55,82 +60,136 @@ def run_rounds(
     options: Options,
     make_transport: Callable[[int], scoring.Transport],
     root: str,
-    start: datetime,
-    step: timedelta,
-    max_rounds: int,
+    clock=None,
+    max_rounds: int | None = None,
+    deadline: datetime | None = None,
     limit: int | None = None,
-    stamp_calls: bool = True,
+    documents: bool = False,
+    slice_prompts: int = SLICE_PROMPTS,
 ) -> DataFrame:
-    """Run up to ``max_rounds`` rounds, the clock moving on by ``step`` each, and return all states.
+    """Run rounds until every prompt is settled, and return all states.
 
-    ``make_transport`` gets the round number. Prompts left at the end stay pending. Starting again with the same ``root`` goes on after the
-    last complete round; a round whose calls were cut short is closed with unanswered attempts,
-    which count against the budget like any other attempt without an answer.
+    ``clock`` gives the time a round claims by and stamps its answers; when nothing is due, the run waits
+    for the least retry time, and rounds are at least the poll interval apart. ``max_rounds`` or
+    ``deadline`` end a run early, with a warning; prompts left then stay pending. ``limit`` bounds the
+    prompts of a round. With ``documents`` each round also writes the result documents of the batches
+    that it completed. ``make_transport`` gets the round number.
+
+    Starting again with the same ``root`` goes on where the run was cut off. Slices of a round whose
+    calls were cut short are closed with unanswered attempts, which count against the budget like any
+    other attempt without an answer; all others keep their answers.
     """
     if spark.conf.get("spark.speculation", "false") == "true":
         warnings.warn("speculative tasks repeat endpoint calls; turn spark.speculation off", stacklevel=2)
-    queue = prompts.withColumn("error", F.lit(None).cast("string")).select(*_QUEUE)
+    clock = clock or SystemClock()
     if not tables.committed(spark, f"{root}/active/round=0"):
+        queue = prompts.withColumn("error", F.lit(None).cast("string")).select(*_QUEUE)
         tables.put(queue, f"{root}/active/round=0")
     last = 0
-    for number in range(1, max_rounds + 1):
-        done_before = tables.committed(spark, f"{root}/active/round={number}")
-        if not done_before:
-            active = _active(spark, root, last)
-            if active.isEmpty():
+    while True:
+        number = last + 1
+        if not tables.committed(spark, f"{root}/active/round={number}"):
+            pending, least = _active(spark, root, last).agg(F.count("*"), F.min("next_retry_at")).first()
+            if not pending:
+                break
+            if (max_rounds is not None and last >= max_rounds) or not _wait(clock, least, deadline):
+                warnings.warn(f"stopped after round {last} with {pending} prompts pending", stacklevel=2)
                 break
-            _one_round(spark, active, options, make_transport, root, number, start + (number - 1) * step, limit, stamp_calls)
+            _one_round(spark, options, make_transport, root, number, clock, limit, slice_prompts)
+        elif max_rounds is not None and number > max_rounds:
+            break
+        if documents:
+            _finalize(spark, options, root, number, clock.now())
         last = number
-    return final_state(spark, options, root, last)
+        clock.sleep_until(clock.now() + timedelta(milliseconds=options.poll_interval_ms))
+    return final_state(spark, root, last)
+
+
+def _wait(clock, least: datetime | None, deadline: datetime | None) -> bool:
+    """Wait until something is due; false when that is after the deadline."""
+    due = max(clock.now(), least or clock.now())
+    if deadline is not None and due > deadline:
+        return False
+    clock.sleep_until(due)
+    return True
 
 
 def _active(spark: SparkSession, root: str, number: int) -> DataFrame:
     return tables.get(spark, f"{root}/active/round={number}").withColumn("status", F.lit("pending"))
 
 
-def _one_round(spark, active, options, make_transport, root, number, now, limit, stamp_calls) -> None:
-    as_of = _as_of(now)
+def _slice_of(slices: int):
+    return F.pmod(F.xxhash64("prompt_id"), F.lit(slices)).cast("int")
+
+
+def _one_round(spark, options, make_transport, root, number, clock, limit, slice_prompts) -> None:
     path = lambda name: f"{root}/{name}/round={number}"
+    active = _active(spark, root, number - 1)
     resumed = tables.committed(spark, path("claims"))
-    if limit is None and not resumed:
-        chosen = state.claim(active, as_of)
-        waiting = active.filter(F.col("next_retry_at") > as_of)
-        tables.put(chosen.select("prompt_id", "batch_id"), path("claims"))
-    else:
-        if not resumed:
-            tables.put(state.claim(active, as_of, limit).select("prompt_id", "batch_id"), path("claims"))
-        ids = tables.get(spark, path("claims")).select("prompt_id")
-        chosen = state.taken(active.join(ids, "prompt_id", "left_semi"))
-        waiting = active.join(ids, "prompt_id", "left_anti")
-
-    claims = chosen.withColumns(
-        {"round": F.lit(number).cast("bigint"), "last_error": F.col("error"), "due_at": F.col("next_retry_at"), "finished_at": as_of}
+    if not resumed:
+        now = _as_of(clock.now())
+        chosen = state.claim(active, now, limit).select("prompt_id", "batch_id", now.alias("claimed_at"))
+        tables.put(chosen, path("claims"))
+    claimed = tables.get(spark, path("claims"))
+    n, as_of = claimed.agg(F.count("*"), F.max("claimed_at")).first()
+    slices = max(1, -(-n // slice_prompts))
+    ids = claimed.select("prompt_id").withColumn("slice", _slice_of(slices))
+    claims = state.taken(active.join(ids, "prompt_id")).withColumns(
+        {
+            "last_error": F.col("error"),
+            "due_at": F.col("next_retry_at"),
+            "finished_at": _as_of(as_of or clock.now()),
+            "round": F.lit(number).cast("bigint"),
+        }
     ).drop("error", "next_retry_at", "status")
-    if not tables.committed(spark, path("attempts")):
+    open_ = [k for k in range(slices) if not tables.committed(spark, f"{path('attempts')}/slice={k}")]
+    for k in open_:
+        own = claims.filter(F.col("slice") == k).drop("slice")
         if resumed:
             answered = spark.createDataFrame([], "prompt_id string, round bigint")
-            log = state.abandoned(claims, answered, as_of)
+            log = state.abandoned(own, answered, _as_of(clock.now()))
         else:
-            log = scoring.score(claims, partial(make_transport, number), options.pool_size, stamp_calls)
+            log = scoring.score(own, partial(make_transport, number), options.pool_size, clock.stamps_calls)
         # the only action over the scoring plan; everything after reads the written log
-        tables.put(log.drop("round"), path("attempts"))
+        tables.put(log.drop("round"), f"{path('attempts')}/slice={k}")
 
-    log = tables.get(spark, path("attempts")).withColumn("round", F.lit(number).cast("bigint"))
-    again = stepped(log, options).filter("status = 'pending'").select(*_QUEUE)
-    tables.put(again.unionByName(waiting.select(*_QUEUE)), path("active"))
+    log = tables.get(spark, path("attempts")).withColumn("round", F.lit(number).cast("bigint")).drop("slice")
+    decided = stepped(log, options)
+    tables.put(decided.filter("status <> 'pending'").select(*_STATE), path("settled"))
+    again = decided.filter("status = 'pending'").select(*_QUEUE)
+    waiting = active.join(ids, "prompt_id", "left_anti").select(*_QUEUE)
+    tables.put(again.unionByName(waiting), path("active"))
+
+
+def _settled(spark: SparkSession, root: str, last: int) -> DataFrame:
+    """Prompts settled up to a round; later rounds under the same root are left out."""
+    paths = [f"{root}/settled/round={n}" for n in range(1, last + 1)]
+    return spark.read.parquet(*paths).select(*_STATE)
+
+
+def _finalize(spark: SparkSession, options: Options, root: str, number: int, now: datetime) -> None:
+    """Documents of batches that the round completed: none pending, and some prompt settled just now."""
+    path = f"{root}/documents/round={number}"
+    if tables.committed(spark, path):
+        return
+    touched = tables.get(spark, f"{root}/settled/round={number}").select("batch_id").distinct()
+    pending = _active(spark, root, number).select("batch_id")
+    done = touched.join(pending, "batch_id", "left_anti")
+    rows = _settled(spark, root, number).join(done, "batch_id", "left_semi")
+    tables.put(finalize.result_documents(rows, _as_of(now), options), path)
+
+
+def documents_of(spark: SparkSession, root: str) -> DataFrame:
+    """All documents that a run with ``documents`` has written."""
+    return tables.get(spark, f"{root}/documents").withColumn("round", F.col("round").cast("bigint"))
 
 
 def attempt_log(spark: SparkSession, root: str) -> DataFrame:
-    """The whole attempt log; ``round`` is the partition column."""
-    return tables.get(spark, f"{root}/attempts").withColumn("round", F.col("round").cast("bigint"))
-
-
-def final_state(spark: SparkSession, options: Options, root: str, last: int) -> DataFrame:
-    """Settled prompts from the log plus the prompts still pending after round ``last``."""
-    columns = ["prompt_id", "batch_id", "seq", "prompt_text", "status", "attempts", "response", "error", "next_retry_at"]
-    pending = _active(spark, root, last).withColumn("response", F.lit(None).cast("string")).select(*columns)
-    if last == 0:
-        return pending
-    log = attempt_log(spark, root)
-    settled = stepped(log, options).filter("status <> 'pending'").select(*columns)
-    return settled.unionByName(pending)
+    """The whole attempt log; ``round`` is a partition column."""
+    return tables.get(spark, f"{root}/attempts").withColumn("round", F.col("round").cast("bigint")).drop("slice")
+
+
+def final_state(spark: SparkSession, root: str, last: int) -> DataFrame:
+    """Prompts settled up to round ``last`` plus those still pending after it."""
+    pending = _active(spark, root, last).withColumn("response", F.lit(None).cast("string")).select(*_STATE)
+    return pending if last == 0 else _settled(spark, root, last).unionByName(pending)

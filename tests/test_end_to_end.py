@@ -2,12 +2,13 @@
 
 import json
 import sys
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from promptscore import Options, new_work_dir
+from promptscore.clock import ScriptedClock
 from promptscore.operators import finalize, report, scoring
 from promptscore.plans import rounds
 from promptscore.sources import requests, tables
@@ -41,7 +42,7 @@ def test_bodies_to_documents(spark, tmp_path):
     batches, prompts = tables.get(spark, f"{root}/batches"), tables.get(spark, f"{root}/prompts")
     assert report.visible_prompts(prompts, batches).count() == prompts.count() == 5
 
-    state = rounds.run_rounds(spark, prompts, options, flaky, root, start, timedelta(minutes=1), 10, stamp_calls=False)
+    state = rounds.run_rounds(spark, prompts, options, flaky, root, ScriptedClock(start))
     tables.put(state, f"{root}/state")
     state = tables.get(spark, f"{root}/state")
     as_of = F.lit("2024-01-02").cast("timestamp_ntz")
