@@ -31,11 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMORY = 500_000
+MEMORY = 1_000_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
 # The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Stretches that the pattern never joins: words of Latin letters apart from the mark that ends them, other
+#: runs without white space, and white space; a space before a run belongs to it.
+_STRETCH = re.compile(
+    f" ?[{_LATIN}]+(?=[.,]?(?:[{WHITE}]|\\Z))|[.,](?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
+)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
