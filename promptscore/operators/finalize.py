@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from promptscore.options import Options
 
-# Largest total size of the texts in one document; larger batches get several.
-DOCUMENT_BYTES = 64 << 20
-
 
 def batch_counts(state: DataFrame, *more: Column) -> DataFrame:
     """total, succeeded, failed, remaining and done for every batch, pre-aggregated per map task.
@@ -63,60 +60,50 @@ def result_documents(
     as_of: Column,
     options: Options,
     completed: DataFrame | None = None,
-    document_bytes: int = DOCUMENT_BYTES,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Documents of newly done batches from (prompt_id, batch_id, seq, prompt_text, status, response).
 
-    A batch is one document (``part`` 0) as long as its ``seq`` stay below ``max_batch_size`` and its
-    texts fit in ``document_bytes``. A larger batch is written as several documents, each holding a
-    run of ``seq``, so no task ever gathers more than one bounded part and nothing is left out.
+    Every batch is cut in the same way: ``part`` is ``seq`` divided by ``part_rows``, which is the largest
+    batch size unless given, so an accepted batch is one document. Part 0 always exists, other parts where
+    a prompt succeeded; ``parts`` is their number. Every part has the counts of the whole batch, and no
+    task gathers more than one part.
 
-    Rows are counted per (batch, shelf of ``max_batch_size`` positions); batch totals come from those
-    counts. Rows then meet their batch's totals on (batch, shelf), so a very large batch is spread.
+    Rows are counted per (batch, part); batch totals come from those counts. Rows then meet their
+    batch's totals on (batch, part), so a very large batch is spread.
     """
-    shelf_rows = options.max_batch_size
-    item = F.octet_length("prompt_text") + F.coalesce(F.octet_length("response"), F.lit(0))
-    shelf = F.col("seq") - F.pmod(F.col("seq"), F.lit(shelf_rows))
-    rows = state.withColumn("shelf", shelf)
+    size = part_rows or options.max_batch_size
+    rows = state.withColumn("part", F.floor(F.col("seq") / size).cast("bigint"))
     whole = Window.partitionBy("batch_id")
-    per_shelf = rows.groupBy("batch_id", "shelf").agg(
+    per_part = rows.groupBy("batch_id", "part").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "succeeded").alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
-        F.sum(item).alias("bytes"),
-        F.max(item).alias("largest"),
     )
-    totals = {c: F.sum(c).over(whole) for c in ("total", "succeeded", "failed", "bytes")}
-    per_batch = per_shelf.withColumns(
-        totals | {"largest": F.max("largest").over(whole), "first_shelf": F.min("shelf").over(whole)}
+    has_any = (F.col("succeeded") > 0) | (F.col("part") == 0)
+    counted = per_part.withColumns({"shown": has_any, "first": F.min("part").over(whole)}).withColumns(
+        {c: F.sum(c).over(whole) for c in ("total", "succeeded", "failed")}
+        | {"parts": F.sum(F.col("shown").cast("bigint")).over(whole) + F.when(F.col("first") > 0, 1).otherwise(0)}
     )
-    todo = newly_done(with_progress(per_batch), completed)
-    fits = F.greatest(F.floor(F.lit(document_bytes) / F.greatest("largest", F.lit(1))), F.lit(1))
-    part_rows = F.when(F.col("bytes") <= document_bytes, F.lit(shelf_rows)).otherwise(F.least(F.lit(shelf_rows), fits))
-    shelves = todo.select(
-        "batch_id",
-        "shelf",
-        "first_shelf",
-        "total",
-        "succeeded",
-        "failed",
-        part_rows.cast("bigint").alias("part_rows"),
+    todo = newly_done(with_progress(counted), completed)
+    # a batch whose lowest part is not 0 gets its part 0 from that row, without results
+    opened = F.when(F.col("first") == F.col("part"), F.array_distinct(F.array(F.lit(0).cast("bigint"), "part")))
+    shelves = todo.withColumn("part", F.explode(F.coalesce(opened, F.array("part")))).select(
+        "batch_id", "part", "total", "succeeded", "failed", "parts"
     )
-    found = succeeded_prompts(rows).select("batch_id", "shelf", "seq", "prompt_id", "prompt_text", "response")
-    placed = shelves.join(found, ["batch_id", "shelf"], "left")
-    slot = F.coalesce(F.floor((F.col("seq") - F.col("shelf")) / F.col("part_rows")), F.lit(0).cast("bigint"))
-    per_shelf_parts = F.ceil(F.lit(shelf_rows) / F.col("part_rows"))
-    placed = placed.filter((F.col("shelf") == F.col("first_shelf")) | F.col("seq").isNotNull()).withColumn("slot", slot)
+    found = succeeded_prompts(rows).select("batch_id", "part", "seq", "prompt_id", "prompt_text", "response")
+    placed = shelves.join(found, ["batch_id", "part"], "left")
     entry = F.when(
         F.col("seq").isNotNull(),
         F.struct("seq", "prompt_id", F.col("prompt_text").alias("prompt"), "response"),
     )
-    parts = placed.groupBy("batch_id", "shelf", "slot").agg(
-        F.any_value("total").alias("total"),
-        F.any_value("succeeded").alias("succeeded"),
-        F.any_value("failed").alias("failed"),
-        F.any_value(F.floor(F.col("shelf") / F.lit(shelf_rows)) * per_shelf_parts + F.col("slot")).alias("part"),
-        F.array_sort(F.collect_list(entry)).alias("entries"),
+    parts = (
+        placed.groupBy("batch_id", "part")
+        .agg(
+            *[F.any_value(c).alias(c) for c in ("total", "succeeded", "failed", "parts")],
+            F.array_sort(F.collect_list(entry)).alias("entries"),
+        )
+        .where((F.col("part") == 0) | (F.size("entries") > 0))
     )
     shown = F.transform(
         "entries",
@@ -126,6 +113,7 @@ def result_documents(
     return parts.withColumn("results", shown).select(
         "batch_id",
         "part",
+        "parts",
         "total",
         "succeeded",
         "failed",
@@ -136,8 +124,7 @@ def result_documents(
 
 
 def completed_of(documents: DataFrame) -> DataFrame:
-    """One row per completed batch: when, in how many parts, and the document if one holds all results."""
-    whole = F.when(F.col("n_results") == F.col("succeeded"), F.col("result"))
+    """One row per completed batch: when, in how many parts, and its first document."""
     return documents.groupBy("batch_id").agg(
-        F.max("generated_at").alias("completed_at"), F.count("*").alias("parts"), F.max(whole).alias("result")
+        F.max("generated_at").alias("completed_at"), F.max("parts").alias("parts"), F.min_by("result", "part").alias("result")
     )

@@ -14,12 +14,6 @@ from promptscore.options import Options
 SPAN = 1 << 20
 
 
-def round_range(log: DataFrame) -> tuple[int, int]:
-    """First and last round of a log; reads one column."""
-    row = log.agg(F.min("round"), F.max("round")).first()
-    return (row[0] or 0, row[1] or 0)
-
-
 def _budget(log: DataFrame, options: Options) -> Column:
     return F.col("max_attempts") if "max_attempts" in log.columns else F.lit(options.max_attempts)
 
@@ -84,7 +78,6 @@ def decide(
     options: Options,
     prior: DataFrame | None = None,
     span: int = SPAN,
-    rounds: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add ``outcome``, ``attempt``, ``decision``, ``delay_ms``, ``next_retry_at`` and ``live`` per attempt.
 
@@ -92,21 +85,16 @@ def decide(
     the one that settled the prompt. ``prior`` is the state before this part of the log
     (prompt_id, status, attempts): counts continue from it, and rows of settled prompts are not live.
 
-    When all rounds fit in one span, a prompt's rows are few and one window per prompt does it.
-    Otherwise rows are numbered per (prompt, span of rounds), and a small table per span carries used
-    budget and the fact of being settled from one span to the next, so a prompt with a large part of
-    the log is spread over tasks by span. The wide rows are shuffled and sorted once in both cases:
-    after the join with that table only arithmetic is left.
+    Rows are numbered per (prompt, span of rounds), and a small table per span carries used budget and the
+    fact of being settled from one span to the next, so a prompt with a large part of the log is spread
+    over tasks by span. The wide rows are shuffled and sorted once: after the join with that table, which
+    only has spans with something to carry over, nothing but arithmetic is left.
     """
-    first, last = rounds or round_range(log)
-    split = last - first >= span
-    keys = ["prompt_id", "piece"] if split else ["prompt_id"]
+    keys = ["prompt_id", "piece"]
     budget = _budget(log, options)
     outcome = F.col("outcome")
 
-    rows = o.classify(log)
-    if split:
-        rows = rows.withColumn("piece", _piece(span))
+    rows = o.classify(log).withColumn("piece", _piece(span))
     inside = _earlier(keys, "round")
     rows = _numbered(rows, keys).withColumns(
         {
@@ -114,13 +102,7 @@ def decide(
             "tries_before": F.max(F.when(outcome == o.TRANSIENT, F.col("local"))).over(inside),
         }
     )
-    if split:
-        rows = rows.join(_carried_over(log, budget, span, prior), keys, "left")
-    elif prior is not None:
-        known = _known(prior).withColumnsRenamed({"used": "carried", "was_settled": "ended"})
-        rows = rows.join(known, "prompt_id", "left")
-    else:
-        rows = rows.withColumns({"carried": F.lit(0).cast("bigint"), "ended": F.lit(False)})
+    rows = rows.join(_carried_over(log, budget, span, prior), keys, "left")
 
     carried = F.coalesce(F.col("carried"), F.lit(0))
     spent_out = F.coalesce(F.col("tries_before") + carried >= budget, F.lit(False))

@@ -246,6 +246,16 @@ _PARTS: dict[str, tuple[list[str], str]] = {
         """SELECT n.batch_id, n.total, n.succeeded, n.failed, f.seq, f.prompt_id, f.prompt_text, f.response
            FROM newly_done n LEFT JOIN (SELECT * FROM full_state WHERE status = 'succeeded') f USING (batch_id)""",
     ),
+    "result_parts": (
+        ["newly_done", "result_items"],
+        """SELECT n.batch_id, p.part, n.total, n.succeeded, n.failed, count(i.prompt_id) AS n_results,
+             md5(coalesce(string_agg(i.seq || ':' || md5(i.prompt_text) || ':' || md5(i.response), '|' ORDER BY i.seq), '')) AS digest
+           FROM newly_done n
+           JOIN (SELECT batch_id, CAST(0 AS BIGINT) AS part FROM newly_done UNION
+                 SELECT batch_id, seq // 4 FROM result_items WHERE prompt_id IS NOT NULL) p USING (batch_id)
+           LEFT JOIN result_items i ON i.batch_id = n.batch_id AND i.seq // 4 = p.part AND i.prompt_id IS NOT NULL
+           GROUP BY n.batch_id, p.part, n.total, n.succeeded, n.failed""",
+    ),
     "talk": (
         [],
         """SELECT u.conv_id, u.turn AS seq, u.text AS prompt_text, a.text AS response
@@ -277,15 +287,14 @@ _PARTS: dict[str, tuple[list[str], str]] = {
     "settled": (["run"], "SELECT * FROM run WHERE status <> 'pending'"),
     "arrivals": (
         [],
-        """SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, id) - 1 AS position, epoch_us(ts) AS us FROM (
-             SELECT event_id AS id, ts, ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % shards AS shard, shards
-             FROM events, (SELECT greatest(16, CAST(ceil(count(*) / 1048576.0) AS BIGINT)) AS shards FROM events))""",
+        """SELECT event_id AS id, ts, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts,
+             ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 64, event_id) - 1 AS position FROM events""",
     ),
     "paced": (
         ["arrivals"],
-        """SELECT *, greatest(us, coalesce(position * step + max(us - position * step) OVER (PARTITION BY shard ORDER BY us, id
+        """SELECT *, greatest(us, coalesce(position * step + max(us - position * step) OVER (ORDER BY position
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), us) - 2 * step) - us AS wait_us
-           FROM (SELECT *, CAST(floor(1000000.0 * shards / 0.004) AS BIGINT) AS step FROM arrivals)""",
+           FROM (SELECT *, CAST(ceil(1000000.0 / 0.004) AS BIGINT) AS step FROM arrivals)""",
     ),
 }
 
@@ -382,7 +391,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         ["state"],
         """SELECT prompt_id, batch_id, 'processing' AS status, attempts + 1 AS attempts, next_retry_at FROM state
            WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '2024-01-20 00:00:00')
-           ORDER BY next_retry_at NULLS FIRST, batch_id, prompt_id LIMIT 64""",
+           ORDER BY next_retry_at NULLS FIRST, batch_id, prompt_id LIMIT 16""",
     ),
     "due_prompts": (
         ["state"],
@@ -413,9 +422,9 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         "SELECT prompt_id, batch_id, seq, prompt_text, response, attempts FROM full_state WHERE status = 'succeeded'",
     ),
     "finalize_once": (
-        ["result_items"],
-        """SELECT batch_id, 'completed' AS status, CAST(0 AS BIGINT) AS part, total, succeeded, failed,
-             count(prompt_id) AS n_results, TIMESTAMP '2024-01-20 00:00:00' AS completed_at FROM result_items GROUP BY ALL""",
+        ["result_parts"],
+        """SELECT batch_id, 'completed' AS status, part, total, succeeded, failed, n_results,
+             TIMESTAMP '2024-01-20 00:00:00' AS completed_at FROM result_parts""",
     ),
     "result_rows": (
         ["result_items"],
@@ -423,14 +432,12 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
            FROM result_items WHERE prompt_id IS NOT NULL""",
     ),
     "result_digest": (
-        ["result_items"],
-        """SELECT batch_id, total, succeeded, failed, count(prompt_id) AS n_results,
-             md5(coalesce(string_agg(seq || ':' || md5(prompt_text) || ':' || md5(response), '|' ORDER BY seq), '')) AS digest
-           FROM result_items GROUP BY batch_id, total, succeeded, failed""",
+        ["result_parts"],
+        "SELECT batch_id, part, total, succeeded, failed, n_results, digest FROM result_parts",
     ),
     "conversation_results": (
         ["talk"],
-        """SELECT CAST(conv_id AS VARCHAR) AS batch_id, count(*) AS total, count(response) AS succeeded,
+        """SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(0 AS BIGINT) AS part, count(*) AS total, count(response) AS succeeded,
              count(*) - count(response) AS failed, count(response) AS n_results,
              md5(coalesce(string_agg(seq || ':' || md5(prompt_text) || ':' || md5(response), '|' ORDER BY seq)
                FILTER (response IS NOT NULL), '')) AS digest
@@ -446,14 +453,14 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
              LEFT JOIN completed d ON d.batch_id = CAST(c_custkey AS VARCHAR)""",
     ),
     "status_with_result": (
-        ["counts", "result_items"],
+        ["counts", "result_parts"],
         """SELECT CAST(c_custkey AS VARCHAR) AS batch_id,
              CASE WHEN d.batch_id IS NULL THEN 'pending' ELSE 'completed' END AS status, coalesce(k.total, 0) AS total,
              coalesce(k.succeeded, 0) AS succeeded, coalesce(k.failed, 0) AS failed,
              CASE WHEN d.batch_id IS NOT NULL THEN TIMESTAMP '2024-01-20 00:00:00' END AS completed_at,
-             CASE WHEN d.batch_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS parts, d.n_results
+             d.parts, d.n_results
            FROM customer LEFT JOIN counts k ON k.batch_id = CAST(c_custkey AS VARCHAR)
-             LEFT JOIN (SELECT batch_id, count(prompt_id) AS n_results FROM result_items GROUP BY batch_id) d
+             LEFT JOIN (SELECT batch_id, count(*) AS parts, max(n_results) FILTER (part = 0) AS n_results FROM result_parts GROUP BY batch_id) d
                ON d.batch_id = CAST(c_custkey AS VARCHAR)""",
     ),
     "batch_lookup": (
@@ -472,12 +479,12 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "orphan_prompts": (
         ["log_prompts"],
         """SELECT prompt_id, batch_id, seq FROM log_prompts
-           WHERE batch_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
+           WHERE batch_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'MACHINERY')""",
     ),
     "visible_prompts": (
         ["log_prompts"],
         """SELECT prompt_id, batch_id, seq FROM log_prompts
-           WHERE batch_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
+           WHERE batch_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment <> 'MACHINERY')""",
     ),
     "purge_batches": (
         ["log_prompts"],
@@ -502,7 +509,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "send_plan": (
         ["paced"],
-        """SELECT id, shard, position, ts AS arrived_at, ts + to_microseconds(wait_us) AS send_at, wait_us FROM paced""",
+        """SELECT id, position, ts AS arrived_at, ts + to_microseconds(wait_us) AS send_at, wait_us FROM paced""",
     ),
     "stream_ingest": (["ingested"], "SELECT prompt_id, batch_id, seq, prompt_text, created_at FROM ingested"),
     "stream_counts": (
@@ -510,6 +517,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         "SELECT batch_id, succeeded, failed FROM counts WHERE succeeded + failed > 0",
     ),
     "stream_completions": (["counts"], "SELECT batch_id, total, succeeded, failed FROM counts WHERE done"),
+    "stream_redelivery": (["state"], f"SELECT {_STATE_COLUMNS} FROM state"),
     "stream_fold": (["state"], f"SELECT {_STATE_COLUMNS} FROM state"),
     "scored_batches": (
         ["accepted"],
@@ -535,6 +543,9 @@ def _sql(name: str) -> str:
     names, final = _QUERIES[name]
     order = _needed(names, [])
     bodies = {n: _PARTS[n][1] for n in order}
+    if name in ("ingest_explode", "stream_ingest"):  # the default limits instead of the small ones
+        bodies["typed"] = bodies["typed"].replace("> 40000", "> 82968576")
+        bodies["judged"] = bodies["judged"].replace("> 12 ", "> 10000 ")
     if name == "error_messages":
         order = ["doc_answers", *order]
         bodies |= {"doc_answers": _PARTS["doc_answers"][1], "answers": _WITH_DOCUMENTS}

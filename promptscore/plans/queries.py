@@ -27,7 +27,8 @@ SMALL = Options(max_batch_size=30)
 ANY_LENGTH = Options(max_prompt_bytes=1 << 30)
 BODIES = Options(max_batch_size=12, body_limit=40_000)
 AS_OF = "2024-01-20 00:00:00"
-CLAIM_SIZE = 64
+CLAIM_SIZE = 16
+PART_ROWS = 4
 PACED = Options(poll_interval_ms=4_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +56,8 @@ def _as_of():
 
 @query
 def ingest_explode(spark, folder):
-    parsed = requests.parse(standins.requests(spark, folder), BODIES)
-    prompts = requests.prompts_of(parsed, BODIES, F.col("received_at"))
+    parsed = requests.parse(standins.requests(spark, folder), DEFAULTS)
+    prompts = requests.prompts_of(parsed, DEFAULTS, F.col("received_at"))
     return prompts.select("prompt_id", "batch_id", "seq", "prompt_text", "created_at")
 
 
@@ -330,7 +331,7 @@ def succeeded_prompts(spark, folder):
 
 def _documents(spark, folder) -> DataFrame:
     completed = standins.completed_batches(spark, folder)
-    return finalize.result_documents(_full_state(spark, folder), _as_of(), DEFAULTS, completed)
+    return finalize.result_documents(_full_state(spark, folder), _as_of(), DEFAULTS, completed, PART_ROWS)
 
 
 @query
@@ -366,6 +367,7 @@ def _digest(documents: DataFrame) -> DataFrame:
     parsed = documents.withColumn("results", F.from_json("result", _DOCUMENT)["results"])
     return parsed.select(
         "batch_id",
+        "part",
         "total",
         "succeeded",
         "failed",
@@ -421,13 +423,13 @@ def batch_lookup(spark, folder):
 
 @query
 def orphan_prompts(spark, folder):
-    orphans = report.orphan_prompts(standins.log_prompts(spark, folder), standins.batches(spark, folder))
+    orphans = report.orphan_prompts(standins.log_prompts(spark, folder), standins.open_batches(spark, folder))
     return orphans.select("prompt_id", "batch_id", "seq")
 
 
 @query
 def visible_prompts(spark, folder):
-    visible = report.visible_prompts(standins.log_prompts(spark, folder), standins.batches(spark, folder))
+    visible = report.visible_prompts(standins.log_prompts(spark, folder), standins.open_batches(spark, folder))
     return visible.select("prompt_id", "batch_id", "seq")
 
 
@@ -473,7 +475,7 @@ def _run(started) -> None:
 def stream_ingest(spark, folder):
     root = new_work_dir(spark, "ingest")
     tables.put(standins.requests(spark, folder), f"{root}/requests")
-    _run(jobs.ingest(_stream(spark, f"{root}/requests", schemas.REQUESTS), BODIES, root, f"{root}/checkpoint"))
+    _run(jobs.ingest(_stream(spark, f"{root}/requests", schemas.REQUESTS), DEFAULTS, root, f"{root}/checkpoint"))
     prompts = jobs.epochs(spark, f"{root}/prompts")
     return prompts.select("prompt_id", "batch_id", "seq", "prompt_text", "created_at")
 
@@ -500,23 +502,33 @@ def stream_completions(spark, folder):
     root = new_work_dir(spark, "completions")
     tables.put(_settled(spark, folder), f"{root}/settled")
     found = jobs.completions(_stream(spark, f"{root}/settled", schemas.SETTLED))
-    _run(jobs.start(found, lambda batch, epoch: tables.put(batch, f"{root}/completed/epoch={epoch}"), f"{root}/checkpoint"))
+    _run(jobs.start(found, jobs.write_completions(root), f"{root}/checkpoint", mode="update"))
     return jobs.epochs(spark, f"{root}/completed").drop("epoch")
 
 
-@query
-def stream_fold(spark, folder):
-    """The log arrives in three deliveries of rising rounds; each is one micro-batch."""
-    root = new_work_dir(spark, "fold")
+def _folded_stream(spark, folder, label, parts) -> DataFrame:
+    """The log in deliveries, each one micro-batch; ``parts`` gives their row filters from the round cuts."""
+    root = new_work_dir(spark, label)
     log = _log(spark, folder)
-    first, last = state.round_range(log)
-    cuts = [first + (last + 1 - first) * k // 3 for k in range(4)]
-    for k in range(3):
-        part = log.filter((F.col("round") >= cuts[k]) & (F.col("round") < cuts[k + 1]))
-        tables.put(part, f"{root}/log/part-{k}")
-        delivered = spark.readStream.schema(schemas.ATTEMPTS).parquet(f"{root}/log/*")
+    first, last = log.agg(F.min("round"), F.max("round")).first()
+    cuts = [first + (last + 1 - first) * k // 6 for k in range(7)]
+    for k, (low, high) in enumerate(parts):
+        tables.put(log.filter((F.col("round") >= cuts[low]) & (F.col("round") < cuts[high])), f"{root}/log-in/part-{k}")
+        delivered = spark.readStream.schema(schemas.ATTEMPTS).parquet(f"{root}/log-in/*")
         _run(jobs.start(delivered, jobs.fold_epochs(DEFAULTS, root), f"{root}/checkpoint"))
-    return jobs.states_before(spark, root, 3, 20)
+    return jobs.states_before(spark, root, len(parts), 20)
+
+
+@query
+def stream_fold(spark, folder):
+    """Three deliveries of rising rounds."""
+    return _folded_stream(spark, folder, "fold", [(0, 2), (2, 4), (4, 6)])
+
+
+@query
+def stream_redelivery(spark, folder):
+    """Deliveries that overlap, and earlier rounds that come after later ones, must fold to the same state."""
+    return _folded_stream(spark, folder, "redelivery", [(2, 4), (0, 3), (3, 6)])
 
 
 # ---- flagship ---------------------------------------------------------------------------------

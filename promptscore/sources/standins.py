@@ -131,6 +131,12 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def open_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of all segments but one, whose prompts are then orphans."""
+    customers = read(spark, folder, "customer").filter(F.col("c_mktsegment") != "MACHINERY")
+    return customers.select(F.col("c_custkey").cast("string").alias("batch_id"))
+
+
 def completed_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Batches that an earlier run has completed: one market segment."""
     return (

@@ -6,12 +6,12 @@ earlier attempt instead of adding to it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from promptscore import schemas
 from promptscore.operators import state as st
@@ -53,21 +53,11 @@ def ingest(stream: DataFrame, options: Options, root: str, checkpoint: str, ever
 
 
 def drop_redelivered(stream: DataFrame, keys: list[str], within: str | None = None, time: str | None = None) -> DataFrame:
-    """One row per key. Copies inside an Arrow batch go before the shuffle, so a key with very many
-    copies sends its task one row per batch.
-
-    Without ``within`` every key is remembered and nothing is ever dropped as late. With it, state is
-    kept for that long after ``time``; choose it only when deliveries are known to be closer together.
-    """
-
-    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.drop_duplicates(subset=keys)
-
-    thinned = stream.mapInPandas(thin, stream.schema)
+    """One row per key. Without ``within`` every key is remembered and nothing is ever dropped as late.
+    With it, state is kept for that long after ``time``; choose it where deliveries are closer together."""
     if within is None:
-        return thinned.dropDuplicates(keys)
-    return thinned.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
 # ---- counts ---------------------------------------------------------------------------------
@@ -96,87 +86,58 @@ def latest_counts(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- completion -----------------------------------------------------------------------------
 
-_PARTIAL = "batch_id string, total_count bigint, succeeded bigint, failed bigint"
-
-
-def _partial_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        flags = frame.assign(
-            succeeded=(frame["status"] == "succeeded").astype("int64"),
-            failed=(frame["status"] == "failed").astype("int64"),
-        )
-        yield flags.groupby("batch_id", as_index=False).agg(
-            total_count=("total_count", "max"), succeeded=("succeeded", "sum"), failed=("failed", "sum")
-        )
-
-
-class CompletionDetector(StatefulProcessor):
-    """Adds partial counts per batch and emits the batch once, when all of its prompts are settled.
-
-    The flag kept after the emission is what makes a late duplicate harmless.
-    """
+def completions(stream: DataFrame) -> DataFrame:
+    """Running counts of settled prompts per batch from (prompt_id, batch_id, status, total_count), of batches
+    that are complete; use update mode and ``write_completions``, which passes each batch on once."""
+    unique = drop_redelivered(stream.select("prompt_id", "batch_id", "status", "total_count"), ["prompt_id"])
+    counts = unique.groupBy("batch_id").agg(
+        F.max("total_count").alias("total"),
+        F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    )
+    return counts.filter((F.col("total") > 0) & (F.col("succeeded") + F.col("failed") >= F.col("total")))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "succeeded bigint, failed bigint, emitted boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        succeeded, failed, emitted = self._seen.get() if self._seen.exists() else (0, 0, False)
-        total = 0
-        for frame in rows:
-            total = max(total, int(frame["total_count"].max()))
-            succeeded += int(frame["succeeded"].sum())
-            failed += int(frame["failed"].sum())
-        complete = total > 0 and succeeded + failed >= total
-        self._seen.update((succeeded, failed, emitted or complete))
-        if complete and not emitted:
-            yield pd.DataFrame(
-                {"batch_id": [key[0]], "total": [total], "succeeded": [succeeded], "failed": [failed]}
-            )
+def write_completions(root: str) -> Callable[[DataFrame, int], None]:
+    """Writes batches that no earlier epoch has written."""
 
-    def close(self) -> None:
-        pass
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = batch
+        if epoch:
+            known = batch.sparkSession.read.schema("batch_id string, epoch bigint").parquet(f"{root}/completed")
+            new = batch.join(known.filter(F.col("epoch") < epoch).select("batch_id"), "batch_id", "left_anti")
+        tables.put(new, f"{root}/completed/epoch={epoch}")
 
+    return write
 
-def completions(stream: DataFrame) -> DataFrame:
-    """Completed batches from settled prompts (prompt_id, batch_id, status, total_count).
 
-    Settled prompts are added up per Arrow batch before the shuffle, so a batch with a large part of
-    all prompts reaches its state task as a few sums.
-    """
-    unique = drop_redelivered(stream.select("prompt_id", "batch_id", "status", "total_count"), ["prompt_id"])
-    partial = unique.select("batch_id", "status", "total_count").mapInPandas(_partial_counts, _PARTIAL)
-    return partial.groupBy("batch_id").transformWithStateInPandas(
-        statefulProcessor=CompletionDetector(),
-        outputStructType="batch_id string, total bigint, succeeded bigint, failed bigint",
-        outputMode="append",
-        timeMode="None",
-    )
+# ---- fold -----------------------------------------------------------------------------------
 
 
-# ---- fold -----------------------------------------------------------------------------------
+BUCKETS = 64
 
 
-def fold_epochs(
-    options: Options, root: str, compact_every: int = 20, rounds: tuple[int, int] | None = None
-) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer that folds new attempts onto the state left by earlier epochs.
+def fold_epochs(options: Options, root: str, compact_every: int = 20, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer that folds new attempts into the states of the prompts they touch.
 
-    A micro-batch is an ordinary table, so the batch fold with its protection against prompts with
-    very many attempts does the work, starting from each prompt's earlier state. Only touched
-    prompts are written. Every ``compact_every`` epochs the newest states are merged into a snapshot,
-    so a lookup reads the snapshot and at most that many epochs. Attempts must arrive in round order
-    from one micro-batch to the next; inside one, any order will do.
+    Attempts are kept in a log by epoch and bucket of the prompt id. A micro-batch adds its rows, reads
+    the log of the buckets it touches, and folds all attempts of its prompts anew, without copies. So
+    attempts may be delivered again and in any order, also over several micro-batches, and the state is
+    that of the whole log so far. Only touched prompts are written; every ``compact_every`` epochs the
+    newest states are merged into a snapshot, so a lookup reads that and at most so many epochs.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        log = st.dedupe(batch)
-        known = states_before(spark, root, epoch, compact_every)
-        prior = None
-        if known is not None:
-            touched = log.select("prompt_id").distinct()
-            prior = known.join(touched, "prompt_id", "left_semi")
-        tables.put(st.prompt_state(log, options, prior=prior, rounds=rounds), f"{root}/state/epoch={epoch}")
+        bucket = F.pmod(F.xxhash64("prompt_id"), F.lit(buckets)).cast("int").alias("bucket")
+        batch.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/log/epoch={epoch}")
+        schema = T.StructType([*batch.schema.fields, T.StructField("epoch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        every = spark.read.schema(schema).parquet(f"{root}/log").filter(F.col("epoch") <= epoch)
+        mine = every.filter(F.col("epoch") == epoch)
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]  # at most ``buckets``
+        ids = mine.select("prompt_id").distinct()
+        log = every.filter(F.col("bucket").isin(touched)).join(ids, "prompt_id", "left_semi").drop("epoch", "bucket")
+        tables.put(st.prompt_state(st.dedupe(log), options), f"{root}/state/epoch={epoch}")
         if (epoch + 1) % compact_every == 0:
             merged = states_before(spark, root, epoch + 1, compact_every, use_snapshot_at=epoch + 1 - compact_every)
             tables.put(merged, f"{root}/snapshot/upto={epoch + 1}")
@@ -204,7 +165,27 @@ def states_before(
     return every.groupBy("prompt_id").agg(newest).select("prompt_id", "newest.*")
 
 
-def due_now(spark: SparkSession, root: str, epoch: int, compact_every: int, as_of: Column, limit: int | None = None):
-    """Prompts to claim now from the newest states: the durable retry timer of a polling loop."""
+def due_now(
+    spark: SparkSession,
+    root: str,
+    epoch: int,
+    compact_every: int,
+    as_of: Column,
+    limit: int | None = None,
+    queue: DataFrame | None = None,
+    in_flight: DataFrame | None = None,
+) -> DataFrame | None:
+    """Prompts to claim now from the newest states: the durable retry timer of a polling loop.
+
+    With ``queue`` prompts without any attempt are due as well; prompts of ``in_flight`` (prompt_id), which
+    were claimed and have no answer yet, are not.
+    """
     known = states_before(spark, root, epoch, compact_every)
-    return None if known is None else st.claim(known, as_of, limit)
+    if queue is not None:
+        empty = spark.createDataFrame([], schemas.PROMPT_STATE)
+        known = st.with_unclaimed(queue, empty if known is None else known)
+    if known is None:
+        return None
+    if in_flight is not None:
+        known = known.join(in_flight.select("prompt_id"), "prompt_id", "left_anti")
+    return st.claim(known, as_of, limit)

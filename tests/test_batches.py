@@ -1,6 +1,6 @@
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,21 +57,36 @@ def test_completed_batches_are_not_done_again(spark):
     assert [r.batch_id for r in docs.collect()] == ["mixed"]
 
 
-@pytest.mark.parametrize("rows, size", [(5, 1 << 20), (10_000, 30), (4, 30), (10_000, 1)])
-def test_large_batches_become_several_documents_with_every_result(spark, rows, size):
+@pytest.mark.parametrize("rows", [1, 3, 5, 10_000])
+def test_large_batches_become_several_documents_with_every_result(spark, rows):
     rng = random.Random(2)
     batches = {f"b{i}": rng.choices(["succeeded", "failed"], [5, 1], k=rng.randint(1, 40)) for i in range(12)}
     batches["f"] = ["failed"] * 9
-    docs = fin.result_documents(state(spark, batches), as_of(), Options(max_batch_size=rows), document_bytes=size).collect()
+    docs = fin.result_documents(state(spark, batches), as_of(), Options(), part_rows=rows).collect()
     seen = {b: [] for b in batches}
     for doc in sorted(docs, key=lambda d: (d.batch_id, d.part)):
         seqs = [r["seq"] for r in json.loads(doc.result)["results"]]
-        assert len(seqs) <= rows and (len(seqs) <= 1 or size > 30 or sum(12 for _ in seqs) <= 40)
+        assert {s // rows for s in seqs} <= {doc.part} and (seqs or doc.part == 0)
+        assert doc.parts == sum(d.batch_id == doc.batch_id for d in docs)
+        assert doc.total == len(batches[doc.batch_id])
         seen[doc.batch_id] += seqs
     assert seen == {b: [i for i, s in enumerate(st) if s == "succeeded"] for b, st in batches.items()}
     assert len({(d.batch_id, d.part) for d in docs}) == len(docs)
 
 
+def test_one_long_text_changes_no_part(spark):
+    rows = state(spark, {"b": ["succeeded"] * 100})
+    long = rows.withColumn("response", F.when(F.col("seq") == 7, F.repeat(F.lit("x"), 1_000_000)).otherwise(F.col("response")))
+    docs = fin.result_documents(long, as_of(), Options()).collect()
+    assert [(d.part, d.parts, d.n_results) for d in docs] == [(0, 1, 100)]
+
+
+def test_a_batch_that_begins_late_has_a_first_part(spark):
+    rows = state(spark, {"b": ["failed"] * 4 + ["succeeded"] * 4}).filter("seq >= 4")
+    docs = fin.result_documents(rows, as_of(), Options(), part_rows=2).collect()
+    assert sorted((d.part, d.parts, d.n_results, d.total) for d in docs) == [(0, 3, 0, 4), (2, 3, 2, 4), (3, 3, 2, 4)]
+
+
 def test_documents_as_files(spark, tmp_path):
     docs = fin.result_documents(state(spark, BATCHES), as_of(), Options())
     tables.export_json(docs, str(tmp_path / "docs"))
@@ -94,12 +109,13 @@ def test_status_view(spark):
     assert got == {"mixed": ("completed", 2, 1, 1, datetime(2024, 1, 2)), "empty": ("pending", 0, 0, 0, None)}
 
 
-def test_status_shows_the_document_when_one_holds_all(spark):
+def test_status_shows_the_first_document(spark):
     rows = state(spark, BATCHES)
     once = finalize_status(spark, rows, Options())
     assert json.loads(once["mixed"].result)["total"] == 2 and once["all"].parts == 1 and once["open"].result is None
     split = finalize_status(spark, rows, Options(max_batch_size=5))
-    assert split["all"].parts == 3 and split["all"].result is None and split["all"].status == "completed"
+    assert split["all"].parts == 3 and len(json.loads(split["all"].result)["results"]) == 5
+    assert split["all"].status == "completed"
 
 
 def finalize_status(spark, rows, options):
@@ -141,20 +157,21 @@ def bucket(times, step, burst):
     return out
 
 
-@pytest.mark.parametrize("burst, rate", [(1, 50.0), (3, 20.0), (10, 400.0), (0, 5.0)])
+@pytest.mark.parametrize("burst, rate", [(1, 50.0), (3, 20.0), (10, 400.0), (0, 5.0), (2, 3.0)])
 def test_send_plan_equals_token_bucket(spark, burst, rate):
     rng = random.Random(burst)
-    t, rows = 0, []
-    for i in range(600):
-        t += rng.choice([0, 0, 1_000, 40_000, 900_000])
-        rows.append((i, t))
-    df = spark.createDataFrame(rows, "id bigint, us bigint").select("id", F.timestamp_micros("us").cast("timestamp_ntz").alias("arrived_at"))
-    plan = pacing.send_plan(df, Options(rate_per_sec=rate, burst=burst), shards=4)
-    times, groups = dict(rows), {}
-    for r in plan.collect():
-        groups.setdefault(r.shard, []).append((times[r.id], r.id, r.wait_us))
-    assert sum(len(g) for g in groups.values()) == 600
-    for group in groups.values():
-        group.sort()
-        want = bucket([t for t, _, _ in group], int(4_000_000 / rate), max(burst, 1))
-        assert [t + w for t, _, w in group] == want
+    start = datetime(2024, 1, 1)
+    times = {i: start + timedelta(microseconds=rng.choice([0, 5, 100, 1000, 90_000]) * rng.randint(0, 900)) for i in range(400)}
+    df = spark.createDataFrame(list(times.items()), "id bigint, arrived_at timestamp_ntz")
+    plan = pacing.send_plan(df, Options(rate_per_sec=rate, burst=burst), span_us=500_000)
+    got = sorted((r.position, (r.arrived_at - start) // timedelta(microseconds=1), r.wait_us) for r in plan.collect())
+    assert [p for p, _, _ in got] == list(range(400)) and [t for _, t, _ in got] == sorted(t for _, t, _ in got)
+    want = bucket([t for _, t, _ in got], -(-1_000_000 // rate), max(burst, 1))
+    assert [t + w for _, t, w in got] == want
+
+
+def test_a_rush_gets_the_burst_once(spark):
+    df = spark.range(2000).select("id", F.lit("2024-01-01").cast("timestamp_ntz").alias("arrived_at"))
+    plan = pacing.send_plan(df, Options(rate_per_sec=20.0, burst=10))
+    assert plan.filter("wait_us = 0").count() == 10
+    assert plan.agg(F.max("wait_us")).first()[0] == 1990 * 50_000

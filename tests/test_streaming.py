@@ -63,10 +63,9 @@ def test_counts_ignore_redelivery(spark):
 def test_completion_is_emitted_once(spark):
     root = new_work_dir(spark, "t")
     rows = settled(BATCHES)
-    write = lambda batch, epoch: tables.put(batch, f"{root}/out/epoch={epoch}")
-    run = lambda s: jobs.start(jobs.completions(s), write, f"{root}/check")
+    run = lambda s: jobs.start(jobs.completions(s), jobs.write_completions(root), f"{root}/check", mode="update")
     deliver(spark, root, [rows[:20], rows[10:70] * 2, rows[40:], rows], SETTLED, run)
-    got = [(r.batch_id, r.total, r.succeeded, r.failed) for r in jobs.epochs(spark, f"{root}/out").collect()]
+    got = [(r.batch_id, r.total, r.succeeded, r.failed) for r in jobs.epochs(spark, f"{root}/completed").collect()]
     assert sorted(got) == sorted(
         (b, len(s), s.count("succeeded"), s.count("failed")) for b, s in BATCHES.items() if "pending" not in s)
 
@@ -115,6 +114,32 @@ def test_replayed_epoch_replaces_its_output(spark):
     assert [(r.status, r.attempts) for r in jobs.states_before(spark, root, 2, 20).collect()] == [("pending", 2)]
 
 
+def test_late_and_repeated_attempts_fold_to_the_same_state(spark):
+    root = new_work_dir(spark, "t")
+    write = jobs.fold_epochs(Options(), root, buckets=4)
+    rows = {r[2]: r for r in log_rows({"b-a": ["abandoned", "transient", "success", "transient"]}, START)}
+    late = [[rows[r] for r in part] for part in ([min(rows) + 1], [min(rows) + 1], [min(rows) + 3], [min(rows)], [min(rows) + 2])]
+    seen = []
+    for epoch, part in enumerate(late):
+        write(spark.createDataFrame(part, SCHEMA), epoch)
+        seen += part
+        want = st.prompt_state(st.dedupe(spark.createDataFrame(seen, SCHEMA)), Options()).collect()
+        assert jobs.states_before(spark, root, epoch + 1, 20).select("prompt_id", "status", "attempts").collect() == [
+            (r.prompt_id, r.status, r.attempts) for r in want]
+
+
+def test_new_prompts_are_due_and_claimed_ones_are_not(spark):
+    root = new_work_dir(spark, "t")
+    queue = spark.createDataFrame([(f"p{i}", "b", i, "t", "pending", 0, 5, START) for i in range(4)],
+                                  "prompt_id string, batch_id string, seq bigint, prompt_text string, status string, "
+                                  "attempts bigint, max_attempts int, next_retry_at timestamp_ntz")
+    now = F.lit("2030-01-01").cast("timestamp_ntz")
+    flying = spark.createDataFrame([("p1",)], "prompt_id string")
+    assert jobs.due_now(spark, root, 0, 20, now) is None
+    due = jobs.due_now(spark, root, 0, 20, now, queue=queue, in_flight=flying)
+    assert sorted((r.prompt_id, r.attempts) for r in due.collect()) == [("p0", 1), ("p2", 1), ("p3", 1)]
+
+
 def test_polling_trigger(spark):
     root = new_work_dir(spark, "t")
     tables.put(spark.createDataFrame(settled({"a": ["failed"]}), SETTLED), f"{root}/in/part-0")
