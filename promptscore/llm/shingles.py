@@ -22,22 +22,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Words:
+    """The words of several texts: the texts' bytes joined by spaces, and each word's bounds, text and hash.
+
+    Hashes are of the word in ASCII lower case. With ``marks`` a full stop or comma that ends a word after
+    an ASCII letter is a word of its own.
+    """
+
+    def __init__(self, texts: Sequence[str | None], marks: bool = False):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.joined = b" " + b" ".join(raw) + b" "
+        data = _LOWER[np.frombuffer(self.joined, np.uint8)]
+        space = _SPACE[data]
+        begins, stops = space[:-1] & ~space[1:], ~space[:-1] & space[1:]  # after the byte at this place
+        if marks:
+            mark = (data == 44) | (data == 46)
+            letter = (data >= 97) & (data <= 122)
+            ending = letter[:-2] & mark[1:-1] & space[2:]
+            begins[:-1] |= ending
+            stops[:-1] |= ending
+        self.starts, self.ends = np.flatnonzero(begins) + 1, np.flatnonzero(stops) + 1
+        bounds = np.cumsum([0, *[len(r) + 1 for r in raw[:-1]]]) + 1
+        self.owner = np.searchsorted(bounds, self.starts, side="right") - 1
+        sizes = self.ends - self.starts
+        if not len(sizes):
+            self.hashes = np.zeros(0, np.uint64)
+            return
+        first = np.cumsum(sizes) - sizes
+        powers = np.cumprod(np.full(int(sizes.max()) + 1, _STEP, np.uint64))
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        values = _BYTE[data[~space]] * powers[place]
+        self.hashes = mix(np.add.reduceat(values, first) ^ sizes.astype(np.uint64))
+
+
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (ASCII lower case) of the texts in order, and the text number of each word."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
-    space = _SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sizes = ends - starts
-    powers = np.cumprod(np.full(int(sizes.max()) + 1, _STEP, np.uint64))
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values = _BYTE[data[~space]] * powers[place]
-    hashes = mix(np.add.reduceat(values, np.cumsum(sizes) - sizes) ^ sizes.astype(np.uint64))
-    text_starts = np.cumsum([0, *[len(r) + 1 for r in raw[:-1]]]) + 1
-    return hashes, np.searchsorted(text_starts, starts, side="right") - 1
+    words = Words(texts)
+    return words.hashes, words.owner
 
 
 def shingle_hashes(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ Texts are ordered by id over range partitions, and every task encodes its range
 and writes record files of some ``file_bytes`` bytes to the shared folder:
 
     record   u64 payload length | u32 masked CRC of the length | payload | u32 masked CRC of the payload
-    payload  u8 "has an id" | 7 zero bytes | i64 id | u32 token ids, the end id last
+    payload  u8 "has an id" | u8 bytes per token id, 2 or 4 | 6 zero bytes | i64 id | token ids, the end id last
     index    u64 offset of the record | u64 payload length | i64 id      (file.idx beside file.rec)
 
 All numbers are little-endian; CRC is the CRC-32 of zlib, masked as ((c >> 15) | (c << 17)) + 0xa282ead8.
@@ -14,8 +14,9 @@ File names carry a random part, and a table of the files that successful tasks w
 of lost or repeated tasks are not in it and are never used. The first token's position over all documents
 comes from sums per file, per partition and per thousand partitions; no task sees more than one of these.
 
-Stretches between white space are encoded once and remembered (the cuts are ones that the tokenizer makes
-anyway); the memory is cleared at ``MEMORY`` entries and changes no result.
+Token ids take two bytes each where the vocabulary allows it. Words between white space are encoded once
+and remembered (the cuts are ones that the tokenizer makes anyway); the memory is cleared at ``MEMORY``
+entries and changes no result.
 
 Defined cases: a null text is the empty one and gets the end id alone; null ids come first; rows with equal
 ids follow each other by hash of the text; other columns are ignored; an empty table writes no files and
@@ -25,7 +26,6 @@ gives an empty result. Ids must be integers.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -39,19 +39,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscore.llm.shingles import portions
+from promptscore.llm.shingles import Words, portions
 from promptscore.llm.words import whole, written
 
-FILE_BYTES = 16 << 20
-MEMORY = 500_000
+FILE_BYTES = 8 << 20
+MEMORY = 400_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
-_STRETCH = re.compile(r"[^\x20\x09-\x0D]+")
-_HEAD = struct.Struct("<QI")
-_ID = struct.Struct("<B7xq")
+_HEAD = "<QI"
+_ID = "<BB6xq"
+_HEAD_SIZE, _ID_SIZE = struct.calcsize(_HEAD), struct.calcsize(_ID)
 
 
 class StretchEncoder:
-    """Ids of texts by a tokenizer that drops white space and never joins across it."""
+    """Ids of texts by a tokenizer that drops white space, lower-cases, and never joins across white space."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -61,30 +61,55 @@ class StretchEncoder:
     def __getstate__(self) -> dict:
         return {"definition": self.definition, "memory": {}, "tokenizer": None}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers.
+
+        Words are told apart by a 64-bit hash, and each different one of these texts is looked up once.
+        """
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.definition)
             self.tokenizer.encode_special_tokens = True
-        if len(self.memory) > MEMORY:
+        words = Words(texts, marks=True)
+        different, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        parts = list(map(self.memory.get, different.tolist()))
+        new = [i for i, part in enumerate(parts) if part is None]
+        bounds = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+        strings = [words.joined[a:b].decode("utf-8", "surrogatepass") for a, b in bounds]
+        if len(self.memory) + len(new) > MEMORY:
             self.memory.clear()
-        memory = self.memory
-        cut = [_STRETCH.findall(t or "") for t in texts]
-        new = {s for stretches in cut for s in stretches if s not in memory}
-        # a Latin letter and the mark after it are always separate tokens
-        ends = {s: s[:-1] for s in new if s[-1] in ".," and s[-2:-1].isalpha() and len(s[-2].lower()) == 1 and s[-2] < "ɐ"}
-        plain = [s for s in {ends.get(s, s) for s in new} | {s[-1] for s in ends} if s not in memory]
-        for s, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            memory[s] = np.array(e.ids, "<u4").tobytes()
-        for s, base in ends.items():
-            memory[s] = memory[base] + memory[s[-1]]
-        out = [b"".join(map(memory.__getitem__, stretches)) for stretches in cut]
-        for s in new.union(plain):
-            if len(s) > REMEMBERED:
-                del memory[s]
+        for i, s, own in zip(new, strings, self._encode_words(strings)):
+            parts[i] = own
+            if len(s) <= REMEMBERED:
+                self.memory[int(different[i])] = parts[i]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, start = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        count = size[which]
+        total = np.cumsum(count)
+        ids = flat[np.repeat(start[which] - (total - count), count) + np.arange(int(count.sum()))]
+        per_text = np.bincount(words.owner, count, len(texts)).astype(np.int64)
+        return np.split(ids, np.cumsum(per_text)[:-1])
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words. Those without "!" go to the tokenizer many at a time, with "!" between them,
+        whose one id no other text has."""
+        (mark,) = self.tokenizer.encode("!", add_special_tokens=False).ids
+        plain = [i for i, w in enumerate(words) if "!" not in w]
+        rest = [i for i, w in enumerate(words) if "!" in w]
+        texts = [" ! ".join([words[i] for i in plain[k : k + 256]]) + " !" for k in range(0, len(plain), 256)]
+        encoded = self.tokenizer.encode_batch_fast(texts + [words[i] for i in rest], add_special_tokens=False)
+        out = [b""] * len(words)
+        if plain:
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded[: len(texts)]])
+            ends = np.flatnonzero(ids == mark).tolist()
+            data, start = ids.tobytes(), 0
+            for i, end in zip(plain, ends):
+                out[i] = data[4 * start : 4 * end]
+                start = end + 1
+        for i, e in zip(rest, encoded[len(texts) :]):
+            out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -100,22 +125,23 @@ def frame(payload: bytes) -> bytes:
     )
 
 
-def payload_of(record_id: int | None, ids: bytes) -> bytes:
-    return _ID.pack(record_id is not None, record_id or 0) + ids
+def payload_of(record_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    return struct.pack(_ID, record_id is not None, width, record_id or 0) + ids.astype(f"<u{width}").tobytes()
 
 
-def parse_payload(payload: bytes) -> tuple[int | None, bytes]:
-    has_id, record_id = _ID.unpack_from(payload)
-    return (record_id if has_id else None), payload[_ID.size :]
+def parse_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """(id, token ids as unsigned 32-bit integers)."""
+    has_id, width, record_id = struct.unpack_from(_ID, payload)
+    return (record_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=_ID_SIZE).astype("<u4")
 
 
 def read_frames(data: bytes) -> Iterator[bytes]:
     """Payloads of a record file; ValueError where a length or a checksum is wrong."""
     at = 0
     while at < len(data):
-        if at + _HEAD.size > len(data):
+        if at + _HEAD_SIZE > len(data):
             raise ValueError(f"a record is cut off at {at}")
-        length, crc = _HEAD.unpack_from(data, at)
+        length, crc = struct.unpack_from(_HEAD, data, at)
         if masked_crc(data[at : at + 8]) != crc or at + 16 + length > len(data):
             raise ValueError(f"wrong length at {at}")
         payload = data[at + 12 : at + 12 + length]
@@ -134,28 +160,28 @@ def read_shuffled(record_file: str, index_file: str, seed: int) -> Iterator[tupl
         for i in np.random.default_rng(seed).permutation(len(index)):
             data.seek(int(index["offset"][i]))
             (payload,) = read_frames(data.read(int(index["length"][i]) + 16))
-            record_id, ids = parse_payload(payload)
-            yield record_id, np.frombuffer(ids, "<u4")
+            yield parse_payload(payload)
 
 
 class _Writer:
     """One task's record files."""
 
-    def __init__(self, folder: str, part: int, file_bytes: int):
+    def __init__(self, folder: str, part: int, file_bytes: int, width: int):
         self.files, self.folder = fs.FileSystem.from_uri(folder)
+        self.width = width
         self.part, self.file_bytes, self.sequence, self.records = part, file_bytes, 0, None
 
-    def add(self, record_id: int | None, ids: bytes) -> tuple | None:
+    def add(self, record_id: int | None, ids: np.ndarray) -> tuple | None:
         """The finished file, where this record ends one."""
         if self.records is None:
             self.name = f"{self.part:06d}-{self.sequence:06d}-{uuid.uuid4().hex}"
             self.records = self.files.open_output_stream(f"{self.folder}/{self.name}.rec")
             self.index, self.offset, self.tokens = [], 0, 0
-        payload = payload_of(record_id, ids)
+        payload = payload_of(record_id, ids, self.width)
         self.records.write(frame(payload))
         self.index.append(struct.pack("<QQq", self.offset, len(payload), record_id or 0))
         self.offset += len(payload) + 16
-        self.tokens += len(ids) // 4
+        self.tokens += len(ids)
         return self.close() if self.offset >= self.file_bytes else None
 
     def close(self) -> tuple | None:
@@ -182,6 +208,7 @@ def write_records(
     encoder: Broadcast,
     root: str,
     end_id: int = 1,
+    max_id: int = 49_407,
     id_col: str = "doc_id",
     text: str = "text",
     file_bytes: int = FILE_BYTES,
@@ -190,18 +217,18 @@ def write_records(
     folder = f"{_uri(spark, root)}/records"
     own = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text)).alias("text"))
     ordered = own.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
-    end = struct.pack("<I", end_id)
+    end, width = np.array([end_id], "<u4"), 2 if max(max_id, end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["name", "part", "sequence", "records", "tokens"]
         fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-        writer = _Writer(folder, TaskContext.get().partitionId(), file_bytes)
+        writer = _Writer(folder, TaskContext.get().partitionId(), file_bytes, width)
         done = []
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in portions([len(x.as_buffer()) for x in texts], 1 << 20):
+            for a, b in portions([len(x.as_buffer()) for x in texts], 2 << 20):
                 encoded = encoder.value.encode(texts.slice(a, b - a).to_pylist())
-                done += [writer.add(i, e + end) for i, e in zip(ids.slice(a, b - a).to_pylist(), encoded)]
+                done += [writer.add(i, np.concatenate((e, end))) for i, e in zip(ids.slice(a, b - a).to_pylist(), encoded)]
         done = [d for d in [*done, writer.close()] if d]
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=names)
@@ -253,8 +280,8 @@ def read_records(spark: SparkSession, root: str, manifest: DataFrame, id_col: st
                 try:
                     for payload in read_frames(content.as_buffer().to_pybytes()):
                         record_id, ids = parse_payload(payload)
-                        rows.append((name, record_id, at, len(ids) // 4, zlib.crc32(ids), None))
-                        at += len(ids) // 4
+                        rows.append((name, record_id, at, len(ids), zlib.crc32(ids.tobytes()), None))
+                        at += len(ids)
                 except ValueError as error:
                     fault = str(error)
                     rows.append((name, None, 0, 0, 0, fault))
