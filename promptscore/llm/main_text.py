@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscore.llm.words import split_join
+from promptscore.llm.words import written
 
 MIN_PAGES = 5
 SHARE_OF = 4
@@ -243,19 +243,22 @@ def templates(pages: DataFrame, url: str, html: str, min_pages: int, share_of: i
 
 
 def extract(
+    spark: SparkSession,
     pages: DataFrame,
+    root: str,
     id_col: str = "page_id",
     url: str = "url",
     html: str = "html",
     min_pages: int = MIN_PAGES,
     share_of: int = SHARE_OF,
 ) -> DataFrame:
-    """(id, url, text) for every page."""
+    """(id, url, text) for every page. The templates are written under ``root`` first, so that Spark knows
+    their size when it plans the join and sends a small table to the pages instead of shuffling these."""
     own = pages.select(
         F.col(id_col), F.col(url), F.col(html).alias("_html"), host_of(F.col(url)).alias("_host")
     )
-    known = templates(pages, url, html, min_pages, share_of)
-    met = split_join(own, known, ["_host"], "left").select(id_col, url, "_html", "_templates")
+    known = written(spark, templates(pages, url, html, min_pages, share_of), f"{root}/templates")
+    met = own.join(known, "_host", "left").select(id_col, url, "_html", "_templates")
     schema = T.StructType([met.schema[0], met.schema[1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

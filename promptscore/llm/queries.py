@@ -54,7 +54,8 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    text = main_text.extract(spark, table(spark, sf_dir, "pages"), new_work_dir(spark, "op6"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
