@@ -16,6 +16,11 @@ from promptscore.sources import tables
 # The shapes a body may have, as reported by ``schema_of_variant``.
 _STRING_ARRAYS = ("ARRAY<STRING>", "ARRAY<VOID>")
 _JSON_NULL = "VOID"
+_TEXTS = ("STRING", "VOID")
+
+# Strings above this many characters are beyond the variant parser.
+_LONG_STRING = 20_000_000
+_LONG_STRINGS = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false"}
 
 
 def from_files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
@@ -34,7 +39,8 @@ def parse(requests: DataFrame, options: Options) -> DataFrame:
     A request is one row, so every check is an expression over its own array: the same code runs on
     a stream, and no batch is ever gathered from several rows. JSON null counts as an empty array and
     a null element as an empty prompt; text after the array is ignored. Bodies over the limit are not
-    parsed; Spark's own limit for one parsed body is 128 MiB.
+    parsed; Spark's own limit for one parsed body is 128 MiB. Bodies that may hold a string too long for
+    the variant parser are parsed element by element when it fails.
     """
     too_large = F.octet_length("body") > options.max_body_bytes
     value = requests.withColumn("value", F.when(~too_large, F.try_parse_json("body")))
@@ -42,10 +48,19 @@ def parse(requests: DataFrame, options: Options) -> DataFrame:
     texts = F.transform(
         F.try_variant_get("value", "$", "array<string>"), lambda x: trim_space(F.coalesce(x, F.lit("")))
     )
-    prompts = F.when(F.col("shape").isin(*_STRING_ARRAYS), texts).when(
-        F.col("shape") == _JSON_NULL, F.array().cast("array<string>")
+    long = ~too_large & F.col("value").isNull() & (F.octet_length("body") > _LONG_STRING) & F.ltrim("body").startswith("[")
+    items = F.when(long, F.from_json("body", "array<variant>", _LONG_STRINGS))
+    shaped = shaped.withColumn("items", items)
+    all_texts = F.forall("items", lambda x: x.isNull() | F.schema_of_variant(x).isin(*_TEXTS))
+    long_texts = F.transform(
+        "items", lambda x: trim_space(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+    )
+    prompts = (
+        F.when(F.col("shape").isin(*_STRING_ARRAYS), texts)
+        .when(F.col("shape") == _JSON_NULL, F.array().cast("array<string>"))
+        .when(all_texts, long_texts)
     )
-    listed = shaped.withColumn("texts", prompts).drop("value", "shape")
+    listed = shaped.withColumn("texts", prompts).drop("value", "shape", "items")
     codes = F.transform("texts", lambda p: v.prompt_error(p, options))
     judged = listed.withColumn("codes", codes)
     judged = judged.withColumn("bad_at", F.array_position(F.transform("codes", lambda c: c.isNotNull()), True))

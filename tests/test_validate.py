@@ -102,6 +102,25 @@ def test_body_at_the_limits(spark):
     assert (row.status_code, row.accepted) == (202, 10_000)
 
 
+@pytest.mark.parametrize(
+    "body, code, seq",
+    [
+        ('["{}"]', "prompt_too_long", 0),
+        ('["short", "{}", null]', "prompt_too_long", 1),
+        ('["{}", 5]', "not_an_array", None),
+        ('["{}"', "not_an_array", None),
+        ("['{}']", "not_an_array", None),
+        ('{{"a": "{}"}}', "not_an_array", None),
+    ],
+)
+def test_a_very_long_string_has_a_verdict_of_its_own(spark, body, code, seq):
+    before, after = body.replace("{{", "{").replace("}}", "}").split("{}") if "{{" not in body else ('{"a": "', '"}')
+    long = F.concat(F.lit(before), F.repeat(F.lit("x"), 21_000_000), F.lit(after))
+    rows = spark.range(1).select(F.lit("r").alias("request_id"), long.alias("body"))
+    got = rq.parse(rows.withColumn("received_at", F.lit("2024-01-01").cast("timestamp_ntz")), Options()).select("error_code", "error_seq")
+    assert tuple(got.first()) == (code, seq)
+
+
 def test_prompts_batches_rejects_partition_the_requests(spark):
     df = spark.createDataFrame([("r1", '["a"," b "]'), ("r2", "[]"), ("r3", '["c"]')], "request_id string, body string")
     parsed = rq.parse(df, Options())
