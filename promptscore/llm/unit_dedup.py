@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptscore.llm.words import ascii_lower, split_join, whole, words_of
+from promptscore.llm.words import ascii_lower, numbered, split_join, whole, words_of
 
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[\x20\x09]*\n"}
 MIN_WORDS = 20
@@ -84,13 +84,14 @@ def dedup_units(
     """``docs`` with the kept text in ``text`` and ``removed_spans``, offsets into the original text."""
     if "removed_spans" in docs.columns:
         docs = docs.drop("removed_spans")
-    texts = docs.withColumn(text, whole(F.col(text))).withColumns(
-        {c: e for c, e in zip(("_doc", "_text_hash"), _document(id_col, text))}
-    )
-    own = texts.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), "_doc", "_text_hash")
+    plain, name = numbered(docs)
+    texts = plain.withColumn(name[text], whole(F.col(name[text])))
+    texts = texts.select("*", *_document(name[id_col], name[text]))
+    own = texts.select(F.col(name[id_col]).alias("_id"), F.col(name[text]).alias("_text"), "_doc", "_text_hash")
     joined = split_join(texts, later_occurrences(own, unit, min_words), ["_doc", "_text_hash"], "left")
-    wide = joined.drop("_doc", "_text_hash").select(*docs.columns, "gone")
-    schema = T.StructType([*wide.drop("gone").schema.fields, T.StructField("removed_spans", T.ArrayType(SPAN))])
+    wide = joined.select(*name.values(), "gone")
+    kinds = [T.StructField(c, T.StringType() if c == text else docs.schema[c].dataType) for c in docs.columns]
+    schema = T.StructType([*kinds, T.StructField("removed_spans", T.ArrayType(SPAN))])
     at = docs.columns.index(text)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
