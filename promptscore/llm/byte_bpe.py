@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMORY = 1_000_000
+MEMORY = 600_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
 # The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -153,7 +153,7 @@ class ByteBPE:
         if ids is None:
             ids = self.merge(raw)
             if len(raw) <= REMEMBERED:
-                if len(self.known) >= MEMORY // 2:
+                if len(self.known) >= MEMORY // 6:
                     self.known.clear()
                 self.known[raw] = ids
         return ids

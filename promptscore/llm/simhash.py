@@ -36,11 +36,12 @@ from pyspark.sql import types as T
 
 from promptscore.llm.components import components
 from promptscore.llm.shingles import mix
-from promptscore.llm.words import split_join, written
+from promptscore.llm.words import numbered, split_join, written
 
 SHINGLE = 3
 RADIUS = 3
-BLOCK = 2048
+BLOCK = 1024
+ITEMS = 1 << 13  # words of lanes compared at once
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -175,8 +176,8 @@ def link_groups(prints: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, ste
             query = own[item]
             todo = (least[tile] != labels[query]) | (most[tile] != labels[query])
             query, tile = query[todo], tile[todo]
-            for cut in range(0, len(query), 1 << 16):
-                q, t = query[cut : cut + (1 << 16)], tile[cut : cut + (1 << 16)]
+            for cut in range(0, len(query), ITEMS):
+                q, t = query[cut : cut + ITEMS], tile[cut : cut + ITEMS]
                 hit, lanes = planes.near(prints[q], t, radius)
                 bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 which, lane = np.nonzero(bits)
@@ -324,7 +325,7 @@ def keep_one(
     radius: int = 50,
     files: int = 64,
     bits: int = 14,
-    block: int = BLOCK,
+    block: int = 8192,
 ) -> DataFrame:
     """``docs`` with one document of each component: the least id (nulls last), one of equal rows.
 
@@ -344,6 +345,7 @@ def keep_one(
         .agg(F.min("first").alias("f"))
     )
     kept = best.select("f.row_hi", "f.row_lo")
-    keyed = docs.withColumns({c: e for c, e in zip(("row_hi", "row_lo"), row_hashes(id_col, text))})
+    plain, name = numbered(docs)
+    keyed = plain.select("*", *row_hashes(name[id_col], name[text]))
     chosen = keyed.join(kept, ["row_hi", "row_lo"], "left_semi").dropDuplicates(["row_hi", "row_lo"])
-    return chosen.select(*docs.columns)
+    return chosen.select(*[F.col(new).alias(old) for old, new in name.items()])

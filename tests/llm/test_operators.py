@@ -157,6 +157,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {201: 200}
 
 
+def test_columns_with_an_operators_own_names(spark):
+    rows = [(1, LINE, "a", 1, 2, 3), (2, LINE, "b", 4, 5, 6), (3, "other text here", "c", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone string, row_hi int, _doc int, c0 int")
+    cut = unit_dedup.dedup_units(docs)
+    assert cut.columns == [*docs.columns, "removed_spans"]
+    assert sorted(tuple(r)[:-1] for r in cut.collect()) == [rows[0], (2, "", *rows[1][2:]), rows[2]]
+    assert sorted(tuple(r) for r in simhash.keep_one(spark, docs, new_work_dir(spark, "t")).collect()) == [rows[0], rows[2]]
+    named = docs.select("doc_id", "text", F.lit("x").alias("words"), F.lit("h").alias("source"), F.lit(1).alias("n_words"))
+    assert line_frequency.quality_rules(named).count() == 3
+    assert repeats.without_repeats(spark, docs, new_work_dir(spark, "t")).count() == 3
+
+
 # ---- 3 ----------------------------------------------------------------------------------------
 
 
