@@ -43,7 +43,7 @@ from promptscore.llm.shingles import Words, portions
 from promptscore.llm.words import whole, written
 
 FILE_BYTES = 8 << 20
-MEMORY = 400_000
+MEMORY = 700_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
 _HEAD = "<QI"
 _ID = "<BB6xq"
@@ -226,7 +226,7 @@ def write_records(
         done = []
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in portions([len(x.as_buffer()) for x in texts], 2 << 20):
+            for a, b in portions([len(x.as_buffer()) for x in texts], 3 << 20):
                 encoded = encoder.value.encode(texts.slice(a, b - a).to_pylist())
                 done += [writer.add(i, np.concatenate((e, end))) for i, e in zip(ids.slice(a, b - a).to_pylist(), encoded)]
         done = [d for d in [*done, writer.close()] if d]
