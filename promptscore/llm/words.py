@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,12 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Python workers started from here on find this package where it lies."""
+    own = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    settings = spark.sparkContext.environment
+    known = [path for path in settings.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if own not in known:
+        settings["PYTHONPATH"] = os.pathsep.join([own, *known])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
