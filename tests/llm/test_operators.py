@@ -151,6 +151,31 @@ def test_keep_one_keeps_the_least_id_of_similar_texts(spark, empty):
     assert simhash.keep_one(spark, empty, new_work_dir(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("slot", [1 << 20, 600])
+def test_keep_one_against_all_pairs(spark, monkeypatch, slot):
+    rng, texts = random.Random(6), []
+    for base in range(30):
+        words = [f"b{base}w{i}" for i in range(rng.choice([8, 9, 60, 200, 400]))]
+        texts.append(words)
+        for share in (0.02, 0.04, 0.06, 0.08, 0.1):  # similarities from above 0.8 to below 0.5
+            for _ in range(3):
+                close = words[:]
+                for at in rng.sample(range(len(words)), int(len(words) * share / 2) or rng.randint(0, 1)):
+                    close[at] = f"n{rng.random()}"
+                texts.append(close)
+    texts += [["p"] * 5 + ["q", "r", "s", "t"], ["p"] * 500 + ["q", "r", "s", "t"], [], [], ["one"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) * 100 >= 80 * len(a | b)
+    pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a & b]
+    assert sum(0.6 <= p < 0.8 for p in pairs) > 100 and sum(0.8 <= p < 1 for p in pairs) > 100
+    links = simhash.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda *given: links(*given, slot))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = simhash.keep_one(spark, docs, new_work_dir(spark, "t")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(groups_by_hand(sets, alike)))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (201, 200)], "a long, b long")
     got = {r.node: r.root for r in components.components(spark, links, new_work_dir(spark, "t")).collect()}
