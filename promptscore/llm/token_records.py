@@ -16,7 +16,8 @@ comes from sums per file, per partition and per thousand partitions; no task see
 
 Token ids take two bytes each where the vocabulary allows it. Words between white space are encoded once
 and remembered (the cuts are ones that the tokenizer makes anyway); the memory is cleared at ``MEMORY``
-entries and changes no result.
+entries and changes no result. Strings of the tokenizer's added tokens are one token each wherever they stand
+in a text, also inside a word, as the tokenizer has it by default.
 
 Defined cases: a null text is the empty one and gets the end id alone; null ids come first; rows with equal
 ids follow each other by hash of the text; other columns are ignored; an empty table writes no files and
@@ -25,7 +26,9 @@ gives an empty result. Ids must be integers.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -56,22 +59,45 @@ class StretchEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             self.definition = file.read()
+        self._added()
         self.memory, self.tokenizer = {}, None
 
     def __getstate__(self) -> dict:
-        return {"definition": self.definition, "memory": {}, "tokenizer": None}
+        return {**self.__dict__, "memory": {}, "tokenizer": None}
+
+    def _added(self) -> None:
+        """The added tokens' ids by their strings, which are cut out of a text before anything else is done to it."""
+        added = json.loads(self.definition).get("added_tokens") or []
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens must stand for exactly their own string")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers.
 
         Words are told apart by a 64-bit hash, and each different one of these texts is looked up once.
+        The stretches between added tokens are looked up like texts of their own.
         """
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.definition)
-            self.tokenizer.encode_special_tokens = True
+        pieces = [self.cut.split(t) if t and self.cut and self.cut.search(t) else [t] for t in texts]
+        encoded = self._encode_plain([p for own in pieces for p in own[::2]])
+        out, at = [], 0
+        for own in pieces:
+            plain = encoded[at : at + len(own) // 2 + 1]
+            at += len(plain)
+            if len(own) > 1:
+                added = [np.array([self.added[p]], "<u4") for p in own[1::2]]
+                plain = [np.concatenate([x for pair in zip(plain, [*added, plain[0][:0]]) for x in pair])]
+            out += plain
+        return out
+
+    def _encode_plain(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of texts without added tokens."""
         words = Words(texts, marks=True)
         different, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         parts = list(map(self.memory.get, different.tolist()))

@@ -291,6 +291,18 @@ def test_encoder_equals_the_tokenizer_on_odd_texts(word_tokens):
         assert [e.tolist() for e in encoder.encode(texts[k : k + 500])] == [word_tokens(t) for t in texts[k : k + 500]]
 
 
+def test_encoder_equals_the_tokenizer_on_added_tokens():
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng, encoder = random.Random(7), token_records.StretchEncoder(P.path("word_bpe_49k.json"))
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "x", "It's", ". ", " ", "\n", "!", "é", "Ab"]
+    texts = ["hello <|endoftext|> world <|startoftext|>x", "<|endoftext|>", None, "", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(2000)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3306, 49407, 1002, 49406, 343]
+    for _ in range(2):  # with an empty and a full memory
+        assert [e.tolist() for e in encoder.encode(texts)] == want
+
+
 def test_many_small_files_and_shuffled_reads(spark, edge, empty, word_tokens):
     encoder = spark.sparkContext.broadcast(token_records.StretchEncoder(P.path("word_bpe_49k.json")))
     root = new_work_dir(spark, "t")
