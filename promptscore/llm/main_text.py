@@ -7,6 +7,10 @@ names itself as something else than text is dropped as well: menus, headers, foo
 adverts, forms, scripts, styles and comments, by element name, role, class or id. The main content itself is
 never taken for a template, since pages may carry the same article.
 
+A class, an id or a form drops no element that holds main content or is it, and none with more than half
+of the text: of the main content's text, or of the page's where it has no main content. A head ends where
+the body's content begins, with or without its end tag.
+
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in
 page order by one space. Nothing is cut short.
 
@@ -47,10 +51,11 @@ _INLINE = set(
     "sub sup time tt u var wbr".split()
 )
 _DROPPED = set(
-    "aside audio button canvas datalist dialog footer form head iframe math menu nav noscript object script select "
+    "aside audio button canvas datalist dialog footer head iframe math menu nav noscript object script select "
     "style svg template textarea title video".split()
 )
-_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
+_OF_HEAD = set("base link meta noscript script style template title".split())
 _NAMES = set(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo "
@@ -74,6 +79,8 @@ class Page:
 
     def __init__(self, html: str | None):
         self.tag, self.parent, self.mark, self.aside = ["#root"], [-1], [""], [False]
+        #: by class, id or form only, which does not hold where the content is
+        self.perhaps = [False]
         #: (element, text) in page order; None for a break between blocks
         self.content: list[tuple[int, str | None]] = []
         self._parse(html or "")
@@ -83,10 +90,10 @@ class Page:
         while at < end:
             m = _TOKEN.search(html, at)
             if m is None:
-                self._text(stack[-1], html[at:])
+                self._text(stack, html[at:])
                 break
             if m.start() > at:
-                self._text(stack[-1], html[at : m.start()])
+                self._text(stack, html[at : m.start()])
             at = m.end()
             name = m[2]
             if name is None:
@@ -107,28 +114,28 @@ class Page:
             if not m[3].endswith("/") or name in ("a", "p", "div", "span", "article"):
                 stack.append(node)
 
-    def _text(self, node: int, text: str) -> None:
-        self.content.append((node, text))
+    def _text(self, stack: list[int], text: str) -> None:
+        if self.tag[stack[-1]] == "head" and not text.isspace():
+            stack.pop()
+        self.content.append((stack[-1], text))
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
         node = len(self.tag)
-        mark, aside = "", name in _DROPPED
+        mark, aside, perhaps = "", name in _DROPPED, name == "form"
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             mark = f"{found.get('class', '')} {found.get('id', '')}".lower()
             role = found.get("role", "").lower()
-            aside = (
-                aside
-                or "hidden" in found
-                or role in _ROLES
-                or (name not in ("html", "body") and not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", mark)))
-            )
+            aside = aside or "hidden" in found or role in _ROLES
+            named = not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", mark))
+            perhaps = perhaps or role == "form" or (name not in ("html", "body") and named)
             if role == "main":
                 name = "main"
         self.tag.append(name)
         self.parent.append(parent)
         self.mark.append(mark)
         self.aside.append(aside)
+        self.perhaps.append(perhaps)
         if name not in _INLINE:
             self.content.append((node, None))
         return node
@@ -145,6 +152,12 @@ class Page:
                 return
 
     def _imply(self, stack: list[int], name: str) -> None:
+        if self.tag[stack[-1]] == "head" and name not in _OF_HEAD:
+            stack.pop()
+        elif name == "body":
+            heads = [depth for depth in range(1, len(stack)) if self.tag[stack[depth]] == "head"]
+            if heads:
+                del stack[heads[0] :]
         closed, until = _CLOSES.get(name, (set(), set()))
         if name not in _INLINE and name not in _VOID:
             closed, until = closed | {"p"}, until | (set() if closed else _SECTIONS)
@@ -159,14 +172,36 @@ class Page:
     def regions(self) -> tuple[list[bool], list[bool]]:
         """For each element: whether it is in the main content, and whether it is dropped by its name."""
         dropped, in_article, in_main = [False], [False], [False]
+        content = self._content()
         for node in range(1, len(self.tag)):
             up, name = self.parent[node], self.tag[node]
-            gone = dropped[up] or self.aside[node] or (name == "header" and not (in_article[up] or in_main[up]))
+            gone = dropped[up] or self.aside[node] or (self.perhaps[node] and not content[node])
+            gone = gone or (name == "header" and not (in_article[up] or in_main[up]))
             dropped.append(gone)
             in_article.append(in_article[up] or (name == "article" and not gone))
             in_main.append(in_main[up] or (name == "main" and not gone))
         return (in_article if any(in_article) else in_main), dropped
 
+    def _content(self) -> list[bool]:
+        """For each element whether it is main content or around it, or has more than half of the text."""
+        if not any(self.perhaps):
+            return self.perhaps
+        gone, inside = [False], [False]
+        for node in range(1, len(self.tag)):
+            up, name = self.parent[node], self.tag[node]
+            gone.append(gone[up] or self.aside[node] or (name == "header" and not inside[up]))
+            inside.append(inside[up] or (name in ("article", "main") and not gone[node]))
+        any_main, size, holds = any(inside), [0] * len(self.tag), [False] * len(self.tag)
+        for node, text in self.content:
+            if text is not None and not gone[node] and (inside[node] or not any_main):
+                size[node] += sum(map(len, text.split()))
+        for node in range(len(self.tag) - 1, 0, -1):
+            up = self.parent[node]
+            size[up] += size[node]
+            holds[node] = holds[node] or (inside[node] and not inside[up])
+            holds[up] = holds[up] or holds[node]
+        return [holds[node] or 2 * size[node] > size[0] for node in range(len(self.tag))]
+
     def subtrees(self) -> list[int]:
         """A hash of each element with all below it: names, classes, ids and text."""
         inside: list[list] = [[] for _ in self.tag]

@@ -360,6 +360,25 @@ def test_main_text_of_odd_pages(page, want):
     assert main_text.Page(page).main_text(set()) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='layout has-sidebar'><article>the text</article><div class=sidebar>side</div></div>", "the text"),
+        ("<article class='post comments-enabled'>the text<div class=comments>c</div></article>", "the text"),
+        ("<article>t<div class='body with-share'>the whole text</div><div class=share>s</div></article>", "t the whole text"),
+        ("<body><form action=x><div class=menu>m</div><p>the text of the page</p></form>", "the text of the page"),
+        ("<form><main>the text</main></form><form>find</form>", "the text"),
+        ("<html><head><title>t</title><meta charset=x><body><p>the text</p>", "the text"),
+        ("<head><title>t</title><p>the text</p>", "the text"),
+        ("<head><style>s</style>the text", "the text"),
+        ("<head><title>t</title></head><body><p>the text<form>f</form>", "the text"),
+        ("<p>the text</p><nav><article>menu</article></nav><div class=sidebar>s</div>", "the text"),
+    ],
+)
+def test_main_text_within_wrappers(page, want):
+    assert main_text.Page(page).main_text(set()) == want
+
+
 def test_templates_go_and_articles_stay(spark):
     pages = [(i, "http://h.example/x", f"<div class=top>same on all pages</div><p>own {i}</p>") for i in range(8)]
     pages += [(20 + i, "http://h.example/y", "<article>the same article</article><div>same on all pages</div>") for i in range(4)]
