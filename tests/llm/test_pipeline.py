@@ -30,6 +30,19 @@ def test_stages_keep_their_contract(spark, folder):
     assert all(r.decodes and r.n_tokens == len(r.token_ids) for r in last)
 
 
+def test_repeated_short_lines_and_passages_go(spark, folder):
+    stock = "subscribe to our letter for more"
+    broken = "\n".join(" ".join(f"p{row}x{i}" for i in range(18)) for row in range(3))
+    words = [f"q{i}" for i in range(24)]
+    narrow, wide = ("\n".join(" ".join(words[i : i + n]) for i in range(0, 24, n)) for n in (3, 4))
+    texts = [f"own {i} words of it\n{stock}\n{broken}\n\n{p}\n\nthe end" for i, p in enumerate([narrow, wide, narrow])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, wide, " \n"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text.split() for r in corpus_pipeline.substrings(spark, docs, folder).collect()}
+    assert set(got) == {0, 1, 2, 4} and got[0] == texts[0].split()
+    assert all(got[i] == f"own {i} words of it the end".split() for i in (1, 2))
+
+
 def test_empty_input(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
