@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
+from promptscore.llm import byte_bpe, contamination, hard_negatives, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -78,6 +78,10 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark, table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -90,8 +94,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_transcripts": op9_transcripts,
         "op10_contamination": op10_contamination,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4, "op10_contamination": sql.OP10}
+    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4, "op10_contamination": sql.OP10, "op11_hard_negatives": sql.OP11}

@@ -89,3 +89,35 @@ SELECT sd.doc_id, n.item_id, n.item_shingles, count(*) AS shared
 FROM si JOIN sd USING (k, s) JOIN n USING (item_id)
 GROUP BY sd.doc_id, n.item_id, n.item_shingles HAVING count(*) * 10 >= n.item_shingles * 8
 """
+
+OP11 = r"""
+WITH clean AS (
+  SELECT vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM (
+    SELECT DISTINCT vec_id, label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR abs(CAST(x AS DOUBLE)) > 1048576)) = 0
+  )
+), anchors AS (
+  SELECT * FROM clean WHERE vec_id % 100 = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS a_label, c.vec_id, c.label,
+         CAST(coalesce(list_sum(list_transform(range(1, greatest(len(a.v), len(c.v)) + 1),
+              lambda i: coalesce(a.v[i], 0) * coalesce(c.v[i], 0))), 0) AS BIGINT) AS score
+  FROM anchors a JOIN clean c ON c.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r
+    FROM scored WHERE label = a_label
+  ) WHERE r <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> s.a_label
+   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+"""
