@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, hard_negatives, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
+from promptscore.llm import byte_bpe, contamination, conversation_repair, hard_negatives, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -82,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -95,6 +99,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_transcripts": op9_transcripts,
         "op10_contamination": op10_contamination,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 

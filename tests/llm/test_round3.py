@@ -86,3 +86,117 @@ def test_hard_negatives_walks_stop_early_but_not_wrongly():
         want = same.sort_values(["s", "vec_id"], ascending=[False, True]).head(5)
         mine = got[got.anchor_id == a.vec_id]
         assert list(mine.vec_id) == list(want.vec_id) and list(mine.score) == list(want.s)
+
+
+# conversation repair ---------------------------------------------------------------------------------
+
+import hashlib  # noqa: E402
+import itertools  # noqa: E402
+import random  # noqa: E402
+import re  # noqa: E402
+import zlib  # noqa: E402
+
+from promptscore.llm import conversation_repair as cr  # noqa: E402
+
+SHAPE = re.compile(r"(s?(ua)+)?")
+
+
+def brute_repair(roles, texts):
+    """(cost, audit, repaired text) by trying every edit sequence; at most two inserts in a gap suffice."""
+    fault = cr.faults(roles, texts)
+    row_choices = []
+    for i, f in enumerate(fault):
+        options = [("D", None, 2)]
+        if f not in (1, 2):
+            extra = 5 if f == 3 else 0
+            options += [("K", roles[i], extra), ("R", "user", 1 + extra), ("R", "assistant", 1 + extra)]
+        row_choices.append(options)
+    gap_choices = [()] + [(r,) for r in ("user", "assistant")] + list(itertools.product(("user", "assistant"), repeat=2))
+    best = None
+    for rows in itertools.product(*row_choices):
+        for gaps in itertools.product(gap_choices, repeat=len(roles) + 1):
+            audit, out, cost = "", [], 0
+            for i in range(len(roles) + 1):
+                for role in gaps[i]:
+                    audit, cost = audit + "I", cost + 5
+                    out.append((role, ""))
+                if i < len(roles):
+                    code, role, c = rows[i]
+                    audit, cost = audit + code, cost + c
+                    if code != "D":
+                        out.append((role, texts[i]))
+            if not SHAPE.fullmatch("".join(r[:1] or "#" for r, _ in out)):  # an empty role fits nowhere
+                continue
+            text = "\n".join(f"{r}:{t}" for r, t in out)
+            key = (cost, audit)
+            if best is None or key < best[0]:
+                best = (key, {text})
+            elif key == best[0]:
+                best[1].add(text)
+    (cost, audit), repaired = best
+    assert len(repaired) == 1
+    return cost, audit, repaired.pop()
+
+
+def test_repair_path_equals_brute_force():
+    rng = random.Random(7)
+    roles_pool = ["user", "assistant", "system", "tool", " ", "u", ""]
+    texts_pool = ["Hi.", "Hi", "", " ", "ok!", "Why?", "x\n"]
+    for _ in range(250):
+        n = rng.randint(0, 3)
+        roles = [rng.choice(roles_pool) for _ in range(n)]
+        texts = [rng.choice(texts_pool) for _ in range(n)]
+        cost, audit, repaired = brute_repair(roles, texts)
+        mine = cr.repair_path([r[:1] for r in roles], cr.faults(roles, texts)) if n else (0, "", [])
+        assert (mine[0], mine[1]) == (cost, audit), (roles, texts)
+
+
+def _python_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        fate = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if fate == 0:
+            continue
+        if fate == 1:
+            text = ""
+        if fate == 2:
+            text = re.sub("[.!?]", "", text)
+        if fate == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (2 if fate == 3 else 1)
+    return out
+
+
+def test_conversation_repair_on_edge_rows_equals_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for conv in [None, 1, 2, 3, 4, 5, 6, 7, 8, 9]:
+        for turn in range(rng.randint(1, 3)):
+            role = rng.choice(["user", "assistant", "system", None, "tool"])
+            text = rng.choice(["Hello there.", "no end", None, "", "Again!", "Hello there."])
+            rows.append((conv, rng.choice([turn, turn, None]), role, text))
+    rows.append(rows[-1])  # a repeated row
+    table = spark.createDataFrame([(*r, "x", 0) for r in rows], "conv_id long, turn long, role string, text string, audit string, present int")
+    got = {r.conv_id: r for r in cr.repaired(table).collect()}
+    assert set(got) == {r[0] for r in rows}
+    after = _python_damage(rows)
+    for conv in got:
+        mine = sorted([r for r in after if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        roles, texts = [r[2] for r in mine], [r[3] for r in mine]
+        cost, audit, repaired = brute_repair(roles, texts) if len(mine) <= 3 else (None, None, None)
+        fault = cr.faults(roles, texts)
+        assert (got[conv].blank, got[conv].duplicate, got[conv].truncated) == (fault.count(1), fault.count(2), fault.count(3))
+        if cost is not None:
+            assert (got[conv].cost, got[conv].audit) == (cost, audit)
+            assert got[conv].repaired_sha256 == hashlib.sha256(repaired.encode()).hexdigest()
+
+
+def test_conversation_repair_empty_and_all_dropped(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert cr.repaired(spark.createDataFrame([], schema)).count() == 0
+    dropped = [c for c in range(2000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0][0]
+    row = cr.repaired(spark.createDataFrame([(dropped, 0, "user", "Hi.")], schema)).collect()[0]
+    assert (row.cost, row.gaps, row.audit, row.blank) == (0, 0, "", 0)
+    assert row.repaired_sha256 == hashlib.sha256(b"").hexdigest()
