@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptscore.llm import byte_bpe, contamination, conversation_repair, hard_negatives, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup
+from promptscore.llm import byte_bpe, contamination, conversation_repair, hard_negatives, line_frequency, main_text, pu_quality, repeats, simhash, sql, token_records, transcripts, unit_dedup, warc
 from promptscore.llm.words import table
 from promptscore.session import new_work_dir
 
@@ -86,6 +86,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"), new_work_dir(spark, "op13"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -100,8 +104,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_contamination": op10_contamination,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_warc": op13_warc,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4, "op10_contamination": sql.OP10, "op11_hard_negatives": sql.OP11}
+    return {"op1_line_frequency": sql.OP1, "op4_unit_dedup": sql.OP4, "op10_contamination": sql.OP10, "op11_hard_negatives": sql.OP11, "op13_warc": sql.OP13}

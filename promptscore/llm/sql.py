@@ -121,3 +121,28 @@ WITH clean AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM negatives WHERE rank <= 5
 """
+
+
+def _base32_of_hex(h: str) -> str:
+    """DuckDB expression: the base32 text of the 40 hex digits ``h``, 40 bits (8 letters) at a time."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    parts = []
+    for group in range(4):
+        bits = f"('0x' || substr({h}, {10 * group + 1}, 10))::BIGINT"
+        parts += [f"substr({letters}, (({bits} >> {35 - 5 * k}) & 31) + 1, 1)" for k in range(8)]
+    return " || ".join(parts)
+
+
+OP13 = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY h, payload_bytes ORDER BY page_id DESC NULLS LAST) AS r,
+         first_value(page_id) OVER (PARTITION BY h, payload_bytes ORDER BY page_id DESC NULLS LAST) AS top
+  FROM p
+)
+SELECT page_id, payload_bytes, {_base32_of_hex("h")} AS payload_digest,
+       CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r = 1 THEN NULL ELSE top END AS refers_to
+FROM ranked
+"""

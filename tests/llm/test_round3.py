@@ -200,3 +200,71 @@ def test_conversation_repair_empty_and_all_dropped(spark):
     row = cr.repaired(spark.createDataFrame([(dropped, 0, "user", "Hi.")], schema)).collect()[0]
     assert (row.cost, row.gaps, row.audit, row.blank) == (0, 0, "", 0)
     assert row.repaired_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# WARC ------------------------------------------------------------------------------------------------
+
+from promptscore import new_work_dir  # noqa: E402
+from promptscore.llm import warc  # noqa: E402
+
+PAGES = [
+    (1, "http://a/1", "<p>same</p>", "x"),
+    (2, "http://a/2", "<p>same</p>", "x"),
+    (3, None, None, "x"),
+    (4, "http://a/\n4", "", "x"),
+    (None, "http://a/5", "<p>same</p>", "x"),
+    (None, "http://a/6", "<b>alone</b>", "x"),
+    (7, "http://a/7", "é" * 50_000, "x"),
+    (7, "http://a/7", "é" * 50_000, "x"),  # a repeated row
+    (8, "http://a/8", "<p>other</p>", "x"),
+]
+
+
+def _pages(spark):
+    return spark.createDataFrame(PAGES, "page_id long, url string, html string, payload string")
+
+
+def test_warc_round_trip_equals_sql_on_edge_pages(spark):
+    pages = _pages(spark)
+    db = duckdb.connect()
+    db.register("edge", pages.toPandas())
+    db.execute("CREATE VIEW pages AS SELECT * FROM edge")
+    got = warc.archived_pages(spark, pages, new_work_dir(spark, "warc-test"), file_bytes=300)
+    assert difference(got, db, sql.OP13) is None
+    rows = got.collect()
+    assert sorted(r.record_type for r in rows if r.page_id == 7) == ["response", "revisit"]
+    assert {r.refers_to for r in rows if r.page_id in (1, None) and r.payload_bytes == 11} == {2}
+
+
+def test_warc_empty_table(spark):
+    assert warc.archived_pages(spark, _pages(spark).limit(0), new_work_dir(spark, "warc-empty")).count() == 0
+
+
+def test_warc_salvage_skips_damage_and_logs_gaps():
+    members = [warc.record(i, f"http://x/{i}", f"<p>{i}</p>".encode() * 20, i, i, i, True) for i in range(6)]
+    plain = warc.zlib.decompress(members[5], 31)  # an uncompressed record at the end
+    broken = bytearray(members[1])
+    broken[len(broken) // 2] ^= 0xFF
+    data = members[0] + bytes(broken) + b"garbage" + members[2] + members[3] + members[4][:-9] + plain
+    records, gaps = warc.salvage(data)
+    assert [r[2] for r in records] == [0, 2, 3, 5]
+    assert len(gaps) >= 2 and all(a < b for a, b, _ in gaps)
+    covered = sum(b - a for a, b, _ in gaps) + sum(len(m) for m in (members[0], members[2], members[3])) + len(plain)
+    assert covered == len(data)
+
+
+def test_warc_reader_recovers_from_a_damaged_file(spark):
+    root = new_work_dir(spark, "warc-damage")
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>page {i}</p>" * 30) for i in range(40)], "page_id long, url string, html string")
+    manifest = warc.write_archives(spark, pages.coalesce(1), root, file_bytes=1 << 30)
+    name = manifest.collect()[0].name
+    path = f"{root}/warc/{name}"
+    with open(path, "rb") as f:
+        data = bytearray(f.read())
+    data[len(data) // 2 : len(data) // 2 + 50] = b"\0" * 50
+    with open(path, "wb") as f:
+        f.write(bytes(data))
+    found = warc.read_archives(spark, root, manifest).collect()
+    gaps = warc.quarantined(spark, root, manifest).collect()
+    assert 35 <= len(found) < 40 and len(gaps) >= 1
+    assert all(r.payload_digest == warc.base32_sha1((f"<p>page {r.page_id}</p>" * 30).encode()) for r in found)
