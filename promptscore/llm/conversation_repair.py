@@ -20,23 +20,26 @@ Insert an empty user/assistant row 5, and 5 more for every truncated row that is
    letter leads from a node to one node only). Round k ranks all nodes by the audit string of length 2^k
    that starts there, from the pairs (rank, rank of the node 2^(k-1) ahead), and doubles the pointers. The
    ranks order the nodes by their least optimal continuation; the doubled pointers pick out the nodes of the
-   start's path and their positions without walking it.
+   start's path and their positions without walking it. The nodes of all conversations of an Arrow batch are
+   ranked in one pass.
 
 Result per original conv_id (null is a conversation too): gaps, blank, duplicate, truncated, illegal, cost,
 audit (edit initials, ASCII-least among the cheapest) and repaired_sha256 (SHA-256 of the repaired
 ``role:text`` rows joined by newlines; an empty repair is the hash of the empty string). A conversation
 without rows after damage gives zeros, an empty audit and the empty string's hash. Extra columns are
-ignored. One conversation is one group of the grouped map: the hash of its whole repair needs all its rows
-in order in one place.
+ignored. Rows are hashed to tasks by conv_id and sorted there; a task reads its sorted rows batch by batch
+and repairs each conversation as it ends. One conversation is in one task: the hash of its whole repair
+needs all its rows in order in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ _INF = 1 << 60
 _EMIT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 _NEW_ROLE = {0: "u", 1: "u", 2: "a", 3: "u"}  # the role a rerole or an insert gives in each state
 _LETTERS = "DIKR"  # in ASCII order
-_SPACE = re.compile(r"[^\x20\x09-\x0D]")
+_WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 _OUT = (
     "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, "
     "audit string, repaired_sha256 string"
@@ -83,7 +86,7 @@ def faults(roles: list[str], texts: list[str]) -> list[int]:
     """The first fault of each row: 0 none, 1 blank, 2 duplicate, 3 truncated."""
     seen, out = set(), []
     for role, text in zip(roles, texts):
-        marks = _SPACE.findall(text)
+        marks = text.rstrip(_WHITE)
         if not marks:
             out.append(_BLANK)
         elif (role, text) in seen:
@@ -110,100 +113,156 @@ def _arcs(initials: list[str], fault: list[int], node: int, n: int):
     return out
 
 
-def repair_path(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[str, int]]]:
-    """(cost, audit, [(letter, row position or -1 for an insert, new role initial)]) of the least cheapest repair."""
+def optimal_arcs(initials: list[str], fault: list[int]) -> tuple[int, list[list[tuple]]]:
+    """Cost DP: (cheapest cost, the optimal arcs of every node), backwards over the rows; inserts stay in a
+    row, so they are relaxed a few times there. The two end nodes get no arcs (their continuation is empty)."""
     n = len(initials)
     nodes = 4 * (n + 1)
-    dist = np.full(nodes, _INF, np.int64)
-    dist[4 * n + 0] = dist[4 * n + 3] = 0
+    dist = [_INF] * nodes
+    dist[4 * n] = dist[4 * n + 3] = 0
     arcs = [_arcs(initials, fault, v, n) for v in range(nodes)]
-    for i in range(n, -1, -1):  # cost DP, backwards; inserts stay in a row, so relax them a few times
-        block = range(4 * i, 4 * i + 4)
-        for v in block:
-            for _, w, c in arcs[v]:
-                if w >= 4 * (i + 1):
-                    dist[v] = min(dist[v], c + dist[w])
+    for i in range(n, -1, -1):
+        low = 4 * (i + 1)
+        for v in range(4 * i, 4 * i + 4):
+            dist[v] = min([dist[v], *[c + dist[w] for _, w, c in arcs[v] if w >= low]])
         for _ in range(4):
-            for v in block:
-                for _, w, c in arcs[v]:
-                    if w < 4 * (i + 1):
-                        dist[v] = min(dist[v], c + dist[w])
-    # the least optimal arc of every node, by letter and then by the rank of its target; the end nodes point
-    # at the sink. Ranks come from prefix doubling, so the choice is repeated until it no longer changes.
-    sink = nodes
+            for v in range(4 * i, 4 * i + 4):
+                dist[v] = min([dist[v], *[c + dist[w] for _, w, c in arcs[v] if w < low]])
     optimal = [[a for a in arcs[v] if a[2] + dist[a[1]] == dist[v]] for v in range(nodes)]
-    for v in (4 * n, 4 * n + 3):
-        optimal[v] = []
-    rank = np.zeros(nodes + 1, np.int64)
-    chosen = None
+    optimal[4 * n] = optimal[4 * n + 3] = []
+    return dist[0], optimal
+
+
+def least_paths(graphs: list[list[list[tuple]]]) -> list[list[tuple[str, int]]]:
+    """Prefix-doubling path ranking over the nodes of many conversations at once.
+
+    Every node points along its least optimal arc, by letter and then by the rank of its target; a node
+    without arcs points at its conversation's sink. Round k ranks all nodes by the pair (rank, rank of the
+    node 2^(k-1) ahead), that is by their audit strings of length 2^k, and doubles the pointers. The doubled
+    pointers then mark the nodes on each start's path, and steps to the sink give their order.
+    Returns, per conversation, the path as (letter, node) pairs.
+    """
+    offsets, total = [], 0
+    for optimal in graphs:
+        offsets.append(total)
+        total += len(optimal) + 1  # the last node of each conversation is its sink
+    targets = [[(w + base, letter) for letter, w, _ in arcs] for optimal, base in zip(graphs, offsets) for arcs in (*optimal, [])]
+    sinks = np.repeat(np.array(offsets) + np.array([len(o) for o in graphs]), [len(o) + 1 for o in graphs])
+    by_letter = all(len({letter for _, letter in t}) == len(t) for t in targets)
+    rank, chosen = np.zeros(total + 1, np.int64), None
     while True:
-        pointer = np.full(nodes + 1, sink, np.int64)
-        letter = np.zeros(nodes + 1, np.int64)  # 0: the empty continuation
-        for v in range(nodes):
-            if optimal[v]:
-                best = min(optimal[v], key=lambda a: (_LETTERS.index(a[0]), rank[a[1]]))
-                pointer[v], letter[v] = best[1], 1 + _LETTERS.index(best[0])
-        if chosen is not None and np.array_equal(pointer, chosen):
-            break
-        chosen = pointer
-        # prefix doubling: ranks by audit strings of length 2^k, pointers 2^k ahead, steps to the sink
+        pointer, letter = sinks.copy(), np.zeros(total, np.int64)  # letter 0: the empty continuation
+        for v, t in enumerate(targets):
+            if t:
+                w, code = min(t, key=lambda a: (_LETTERS.index(a[1]), rank[a[0]]))
+                pointer[v], letter[v] = w, 1 + _LETTERS.index(code)
         rank, ahead, steps = letter.copy(), pointer.copy(), (letter > 0).astype(np.int64)
         jumps = [pointer.copy()]
-        for _ in range(int(np.ceil(np.log2(2 * nodes + 2))) + 1):
-            pairs = rank * (rank.max() + 1) + rank[ahead]
-            rank = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        for _ in range(int(np.ceil(np.log2(2 * max(map(len, graphs), default=1) + 2))) + 1):
+            rank = np.unique(rank * (rank.max() + 1) + rank[ahead], return_inverse=True)[1].astype(np.int64)
             steps = steps + steps[ahead]
             ahead = ahead[ahead]
-            jumps.append(ahead.copy())
-    start = 0
-    on_path = np.zeros(nodes + 1, bool)
-    on_path[start] = True
-    for jump in reversed(jumps[:-1]):  # every offset from the start is a sum of distinct powers of two
+            jumps.append(ahead)
+        if by_letter or (chosen is not None and np.array_equal(pointer, chosen)):
+            break
+        chosen = pointer
+    starts = np.array(offsets, np.int64)
+    on_path = np.zeros(total, bool)
+    on_path[starts] = True
+    for jump in reversed(jumps[:-1]):  # every offset from a start is a sum of distinct powers of two
         on_path[jump[on_path]] = True
-    path = np.flatnonzero(on_path[:nodes] & (letter[:nodes] > 0))
-    path = path[np.argsort(steps[start] - steps[path], kind="stable")]
-    edits = []
-    for v in path:
-        i, state = divmod(int(v), 4)
-        code = _LETTERS[letter[v] - 1]
-        new = initials[i] if code == "K" else _NEW_ROLE[state]
-        edits.append((code, i if code != "I" else -1, new))
-    audit = "".join(e[0] for e in edits)
-    return int(dist[start]), audit, edits
+    owner = np.repeat(np.arange(len(graphs)), [len(o) + 1 for o in graphs])
+    path = np.flatnonzero(on_path & (letter > 0))
+    path = path[np.lexsort((steps[starts[owner[path]]] - steps[path], owner[path]))]
+    out = [[] for _ in graphs]
+    for v in path.tolist():
+        c = owner[v]
+        out[c].append((_LETTERS[letter[v] - 1], v - offsets[c]))
+    return out
+
+
+def repair_paths(conversations: list[tuple[list[str], list[int]]]) -> list[tuple[int, str, list[tuple[str, int, str]]]]:
+    """(cost, audit, [(letter, row position or -1 for an insert, new role initial)]) of the least cheapest repair
+    of each (initials, faults)."""
+    solved = [optimal_arcs(initials, fault) for initials, fault in conversations]
+    paths = least_paths([optimal for _, optimal in solved])
+    out = []
+    for (initials, _), (cost, _), path in zip(conversations, solved, paths):
+        edits = []
+        for code, v in path:
+            i, state = divmod(v, 4)
+            edits.append((code, i if code != "I" else -1, initials[i] if code == "K" else _NEW_ROLE[state]))
+        out.append((cost, "".join(e[0] for e in edits), edits))
+    return out
+
+
+def repair_path(initials: list[str], fault: list[int]) -> tuple[int, str, list[tuple[str, int, str]]]:
+    return repair_paths([(initials, fault)])[0]
 
 
 def _illegal(initials: list[str]) -> int:
     return sum(1 for a, b in zip(initials, initials[1:]) if a + b not in ("su", "ua", "au"))
 
 
-def _one(conv: pd.DataFrame) -> pd.DataFrame:
-    conv_id = conv["conv_id"].iloc[0]
-    rows = conv[conv["present"]]
-    rows = rows.assign(_null=rows["turn"].notna()).sort_values(["_null", "turn", "role", "text"], kind="stable")
-    roles, texts = rows["role"].tolist(), rows["text"].tolist()
-    turns = rows["turn"].dropna()
-    gaps = int(turns.max() - turns.min() + 1 - turns.nunique()) if len(turns) else 0
+def _rows(conv_id, turns: list, roles: list[str], texts: list[str], present: list[bool]) -> tuple:
+    """The judged rows of one conversation (dropped rows left out) and its counts."""
+    kept = [i for i, p in enumerate(present) if p]
+    roles, texts, turns = [roles[i] for i in kept], [texts[i] for i in kept], [turns[i] for i in kept if turns[i] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
     initials = [r[:1] for r in roles]
     fault = faults(roles, texts)
-    cost, audit, edits = repair_path(initials, fault) if roles else (0, "", [])
-    names = {"u": "user", "a": "assistant"}
-    lines = []
-    for code, i, new in edits:
-        if code == "K":
-            lines.append(f"{roles[i]}:{texts[i]}")
-        elif code == "R":
-            lines.append(f"{names[new]}:{texts[i]}")
-        elif code == "I":
-            lines.append(f"{names[new]}:")
-    digest = hashlib.sha256("\n".join(lines).encode("utf-8", "surrogatepass")).hexdigest()
     counts = [fault.count(k) for k in (_BLANK, _DUPLICATE, _TRUNCATED)]
-    return pd.DataFrame(
-        [[conv_id, gaps, *counts, _illegal(initials), cost, audit, digest]],
-        columns=["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
-    )
+    return (conv_id, gaps, *counts, _illegal(initials)), roles, texts, initials, fault
+
+
+def _results(conversations: list[tuple]) -> list[tuple]:
+    """Result rows of several conversations, their paths ranked together."""
+    judged = [_rows(*c) for c in conversations]
+    repairs = repair_paths([(initials, fault) for _, _, _, initials, fault in judged])
+    names = {"u": "user", "a": "assistant"}
+    out = []
+    for (head, roles, texts, _, _), (cost, audit, edits) in zip(judged, repairs):
+        lines = []
+        for code, i, new in edits:
+            if code == "K":
+                lines.append(f"{roles[i]}:{texts[i]}")
+            elif code == "R":
+                lines.append(f"{names[new]}:{texts[i]}")
+            elif code == "I":
+                lines.append(f"{names[new]}:")
+        digest = hashlib.sha256("\n".join(lines).encode("utf-8", "surrogatepass")).hexdigest()
+        out.append((*head, cost, audit, digest))
+    return out
+
+
+_NAMES = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+_TYPES = [pa.int64()] * 7 + [pa.string(), pa.string()]
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Result rows of the sorted rows of a partition; a conversation may run over several batches."""
+    current, rows = None, None
+    for batch in batches:
+        done = []
+        for conv_id, turn, role, text, present in zip(*[c.to_pylist() for c in batch.columns]):
+            if rows is None or conv_id != current:
+                if rows is not None:
+                    done.append((current, *rows))
+                current, rows = conv_id, ([], [], [], [])
+            for column, value in zip(rows, (turn, role, text, present)):
+                column.append(value)
+        if done:
+            yield _batch(_results(done))
+    if rows is not None:
+        yield _batch(_results([(current, *rows)]))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
     """One row per original conv_id, see the module's text."""
-    rows = damaged(conversations)
-    return rows.groupBy("conv_id").applyInPandas(_one, _OUT)
+    rows = damaged(conversations).repartition("conv_id")
+    ordered = rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    return ordered.select("conv_id", "turn", "role", "text", "present").mapInArrow(_conversations, _OUT)
