@@ -5,11 +5,11 @@ every anchor is scored against every row, but in blocks, and mostly not in full:
 
 * Anchors are cut into chunks of at most ``chunk_anchors`` and rows into blocks of about ``block_rows``; the
   operator's unit of work is one (chunk, block) pair, so no task holds more than one chunk and one block,
-  whatever the table's size. The anchors travel to every block; the rows to every chunk.
+  whatever the table's size; there are at least as many pairs as cores. The anchors travel to every block; the rows to every chunk.
 * Inside a chunk the anchors are clustered (spherical k-means on the chunk, ``cluster_size`` anchors a
   cluster). For a cluster with centroid ``c`` and widest member angle ``t``, no member ``a`` scores more
   than ``|a| |r| cos(max(0, angle(c, r) - t))`` on row ``r``. The block's rows are sorted by that bound
-  once per cluster, and every member walks the shared list in steps, scoring exactly, until the bound of
+  once per cluster, and every member walks the shared list in doubling steps, scoring exactly, until the bound of
   the next row shows that no row further down can change its answer (certified termination).
 * The first pass finds each anchor's five best rows of its label in every block; the best five of those
   over all blocks are its positives. The second pass walks again with the windows of score
@@ -101,8 +101,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, take: np.ndarray, top: int) -> np
 
 
 def _walks(anchors: pd.DataFrame, rows: pd.DataFrame, visit) -> list[tuple]:
-    """Every anchor walks its cluster's shared list; ``visit(anchor, scores, ids, labels, next_bound)`` says
-    when to stop (``None``: go on) and what to give."""
+    """Every anchor walks its cluster's shared list in steps that double (from ``STEP`` rows);
+    ``visit(i, scores, ids, labels, next_bound)`` of anchor ``i`` says when to stop (``None``: go on) and
+    what to give."""
     if anchors.empty or rows.empty:
         return []
     width = max(max(map(len, anchors["v"])), max(map(len, rows["v"])), 1)
@@ -113,16 +114,15 @@ def _walks(anchors: pd.DataFrame, rows: pd.DataFrame, visit) -> list[tuple]:
     for c in range(len(centroids)):
         bound = _bounds(r.astype(np.float64), centroids[c], widest[c])
         order = np.lexsort((ids, -bound))  # the shared list, sorted once
-        listed, bound = r[order], bound[order]
+        listed, listed_ids, listed_labels, bound = r[order], ids[order], labels[order], bound[order]
         for i in np.flatnonzero(member == c):
-            norm, at = float(np.linalg.norm(a[i])), 0
-            scores = np.empty(0, np.int64)
+            norm, at, step, parts = float(np.linalg.norm(a[i])), 0, STEP, []
             while True:
-                end = min(at + STEP, len(order))
-                scores = np.concatenate((scores, listed[at:end] @ a[i]))
-                at = end
+                end = min(at + step, len(order))
+                parts.append(listed[at:end] @ a[i])
+                at, step = end, 2 * step
                 ahead = norm * bound[at] * (1 + 1e-9) + 1e-6 if at < len(order) else -math.inf
-                given = visit(anchors.iloc[i], scores, ids[order[:at]], labels[order[:at]], ahead)
+                given = visit(i, np.concatenate(parts), listed_ids[:at], listed_labels[:at], ahead)
                 if given is not None:
                     found += given
                     break
@@ -131,29 +131,34 @@ def _walks(anchors: pd.DataFrame, rows: pd.DataFrame, visit) -> list[tuple]:
 
 def _positives(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """Each anchor's best rows of its label in this block."""
-    label_count = rows["label"].value_counts()
-    same_id = rows.groupby(["vec_id", "label"]).size()
+    label_count = rows["label"].value_counts().to_dict()
+    same_id = rows.groupby(["vec_id", "label"]).size().to_dict()
+    anchor_ids, anchor_labels = anchors["vec_id"].tolist(), anchors["label"].tolist()
 
-    def visit(anchor, scores, ids, labels, ahead):
-        own = (labels == anchor["label"]) & (ids != anchor["vec_id"])
+    def visit(i, scores, ids, labels, ahead):
+        me, label = anchor_ids[i], anchor_labels[i]
+        own = (labels == label) & (ids != me)
         best = _best(scores, ids, own, TOP)
-        everyone = label_count.get(anchor["label"], 0) - same_id.get((anchor["vec_id"], anchor["label"]), 0)
+        everyone = label_count.get(label, 0) - same_id.get((me, label), 0)
         done = ahead == -math.inf or own.sum() >= everyone or (len(best) == TOP and scores[best[-1]] > ahead)
-        return [(anchor["vec_id"], int(ids[j]), int(scores[j])) for j in best] if done else None
+        return [(me, int(ids[j]), int(scores[j])) for j in best] if done else None
 
     return pd.DataFrame(_walks(anchors, rows, visit), columns=["anchor_id", "vec_id", "score"])
 
 
 def _negatives(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """For each anchor and positive, the best different-label rows of the positive's window in this block."""
+    anchor_ids, anchor_labels = anchors["vec_id"].tolist(), anchors["label"].tolist()
+    windows = [list(zip(p, q)) for p, q in zip(anchors["positive_ids"], anchors["positive_scores"])]
 
-    def visit(anchor, scores, ids, labels, ahead):
-        other = (labels != anchor["label"]) & (ids != anchor["vec_id"])
+    def visit(i, scores, ids, labels, ahead):
+        me = anchor_ids[i]
+        other = (labels != anchor_labels[i]) & (ids != me)
         out, done = [], True
-        for positive, p in zip(anchor["positive_ids"], anchor["positive_scores"]):
+        for positive, p in windows[i]:
             inside = other & (80 * p <= 100 * scores) & (scores <= p)
             best = _best(scores, ids, inside, TOP)
-            out += [(anchor["vec_id"], positive, p, int(ids[j]), int(scores[j])) for j in best]
+            out += [(me, int(positive), int(p), int(ids[j]), int(scores[j])) for j in best]
             certain = (len(best) == TOP and scores[best[-1]] > ahead) or 100 * ahead < 80 * p
             done = done and (ahead == -math.inf or certain)
         return out if done else None
@@ -177,7 +182,10 @@ def hard_negatives(
     rows = clean_rows(embeddings)
     anchors = rows.where(F.col("vec_id") % 100 == 0)
     n_rows, n_anchors = rows.count(), anchors.count()
-    blocks, chunks = max(1, math.ceil(n_rows / block_rows)), max(1, math.ceil(n_anchors / chunk_anchors))
+    # blocks of at most block_rows, and at least as many (chunk, block) tasks as cores, so that a small
+    # table is not one task
+    chunks = max(1, math.ceil(n_anchors / chunk_anchors))
+    blocks = max(math.ceil(n_rows / block_rows), math.ceil(spark.sparkContext.defaultParallelism / chunks), 1)
 
     def keyed_rows() -> DataFrame:
         return rows.select(
