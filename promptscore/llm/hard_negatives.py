@@ -187,17 +187,18 @@ def hard_negatives(
     chunks = max(1, math.ceil(n_anchors / chunk_anchors))
     blocks = max(math.ceil(n_rows / block_rows), math.ceil(spark.sparkContext.defaultParallelism / chunks), 1)
 
+    # both sides key by (chunk, block) as longs: keys of other types would not meet in the cogroup
     def keyed_rows() -> DataFrame:
         return rows.select(
-            F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+            F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("long").alias("block"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"),
             *[F.col(c).alias(c) for c in ("vec_id", "label", "v")],  # new names: the plan joins rows twice
         )
 
     def keyed_anchors(df: DataFrame) -> DataFrame:
         return df.select(
-            F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks)).alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+            F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks)).cast("long").alias("chunk"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
             *[F.col(c).alias(c) for c in df.columns],
         )
 

@@ -268,3 +268,14 @@ def test_warc_reader_recovers_from_a_damaged_file(spark):
     gaps = warc.quarantined(spark, root, manifest).collect()
     assert 35 <= len(found) < 40 and len(gaps) >= 1
     assert all(r.payload_digest == warc.base32_sha1((f"<p>page {r.page_id}</p>" * 30).encode()) for r in found)
+
+
+def test_hard_negatives_keys_meet_in_every_block():
+    """Keys of both sides must meet: at sf0.1 with many blocks and chunks the result is the SQL's."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    folder = "/root/testdata/sf0.1"
+    found = hard_negatives.hard_negatives(spark, spark.read.parquet(f"{folder}/embeddings.parquet"), chunk_anchors=4, block_rows=256)
+    assert found.count() > 0
+    assert difference(found, connect(folder), sql.OP11) is None
