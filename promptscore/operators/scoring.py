@@ -76,20 +76,18 @@ def score(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transport = make_transport()
         for frame in frames:
-            answers: list[Response] = []
-            times: list[datetime] = []
             texts = frame["prompt_text"].tolist()
-            for start in range(0, len(texts), call_size):
-                chunk = texts[start : start + call_size]
-                answers.extend(_call(transport, chunk))
-                times.extend([datetime.now(timezone.utc).replace(tzinfo=None)] * len(chunk))
-            out = frame[names].copy()
-            out["finished_at"] = pd.Series(times, index=out.index) if stamps else frame["finished_at"]
-            out["http_status"] = pd.array([a.status for a in answers], dtype="Int32")
-            out["retry_after"] = [a.retry_after for a in answers]
-            out["body"] = [a.body for a in answers]
-            out["transport_error"] = [a.error for a in answers]
-            yield out
+            for start in range(0, len(texts), call_size):  # each call's answers leave the task at once
+                part = frame.iloc[start : start + call_size]
+                answers = _call(transport, texts[start : start + call_size])
+                now = datetime.now(timezone.utc).replace(tzinfo=None)
+                out = part[names].copy()
+                out["finished_at"] = pd.Series([now] * len(part), index=out.index) if stamps else part["finished_at"]
+                out["http_status"] = pd.array([a.status for a in answers], dtype="Int32")
+                out["retry_after"] = [a.retry_after for a in answers]
+                out["body"] = [a.body for a in answers]
+                out["transport_error"] = [a.error for a in answers]
+                yield out
 
     return claims.mapInPandas(run, schema)
 

@@ -2,24 +2,34 @@
 
 Tables under ``root``, one folder per round:
 
-``claims/round=N``             claimed ids with their slice and the time of the round, written before any call
-``attempts/round=N/slice=K``   one row per claimed prompt of a slice with its raw response
+``claims/round=N``             claimed ids and the time of the round, written before any call
+``slices/round=N``             the round's number of slices, fixed when first written
+``leases/round=N/slice=K``     the claimed prompts with their text, partitioned by slice
+``attempts/round=N/slice=K``   the raw responses of a slice, in files that its scoring tasks write as answers
+                               arrive; the table ``_committed`` in it closes the slice
 ``settled/round=N``            prompts that the round settled
 ``active/round=N``             prompts still pending after the round
 ``documents/round=N``          result documents of batches that became done in the round
 
-A slice is a fixed share of a round by hash of the prompt id. Each is one job with its own commit, so a
-crash loses the answers of the slice in flight and nothing else. Only pending prompts are carried from
-round to round; every attempt is decided once, and its result read back from the tables.
+A slice is a fixed share of a round by hash of the prompt id, and reads only its own lease files. Each is
+one job with its own commit; inside it, tasks keep their answers in files of their own, so a crash loses
+the calls in flight and nothing else. A resumed run reads the number of slices back instead of deriving it
+from its own ``slice_prompts``, so every claimed prompt belongs to exactly one slice. Only pending prompts
+are carried from round to round; every attempt is decided once, and its result read back from the tables.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from functools import partial
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +41,8 @@ from promptscore.options import Options
 from promptscore.sources import tables
 
 SLICE_PROMPTS = 50_000
+ANSWER_ROWS = 2_000
+ANSWER_SECONDS = 10.0
 _QUEUE = ["prompt_id", "batch_id", "seq", "prompt_text", "attempts", "max_attempts", "next_retry_at", "error"]
 _STATE = ["prompt_id", "batch_id", "seq", "prompt_text", "status", "attempts", "response", "error", "next_retry_at"]
 
@@ -122,6 +134,77 @@ def _slice_of(slices: int):
     return F.pmod(F.xxhash64("prompt_id"), F.lit(slices)).cast("int")
 
 
+def _slices(spark: SparkSession, root: str, number: int, claimed: DataFrame, slice_prompts: int, clock) -> tuple[int, datetime]:
+    """The round's number of slices and its time, fixed when first written: a resumed run keeps both,
+    whatever its own ``slice_prompts``."""
+    path = f"{root}/slices/round={number}"
+    if not tables.committed(spark, path):
+        n, as_of = claimed.agg(F.count("*"), F.max("claimed_at")).first()
+        row = [(max(1, -(-n // slice_prompts)), as_of or clock.now())]
+        tables.put(spark.createDataFrame(row, "slices int, as_of timestamp_ntz"), path)
+    first = tables.get(spark, path).first()
+    return first.slices, first.as_of
+
+
+def _lease(spark: SparkSession, leases: str, k: int, schema) -> DataFrame:
+    """The claimed prompts of slice ``k``: only the files of its folder are read."""
+    folder = f"{leases}/slice={k}"
+    if not tables.exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    return tables.get(spark, folder, schema)
+
+
+def write_answers(spark: SparkSession, scored: DataFrame, folder: str, rows: int = ANSWER_ROWS, seconds: float = ANSWER_SECONDS) -> None:
+    """Runs the scoring plan; every task writes its answers to files of its own as they arrive.
+
+    A file is written under a name that readers skip and renamed when complete, after ``rows`` answers or
+    ``seconds`` since the last file, so a lost task or driver loses only the answers of calls in flight
+    and of the file being filled. Files of a failed task attempt stay: their calls were made.
+    """
+    target = tables.uri(spark, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pafs.FileSystem.from_uri(target)
+        files.create_dir(base, recursive=True)
+        held, count, since, written = [], 0, time.monotonic(), []
+
+        def flush():
+            name = f"part-{uuid.uuid4().hex}.parquet"
+            with files.open_output_stream(f"{base}/_{name}", compression=None) as out:
+                pq.write_table(pa.Table.from_batches(held), out)
+            files.move(f"{base}/_{name}", f"{base}/{name}")
+            written.append((name, count))
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows or time.monotonic() - since >= seconds:
+                flush()
+                held, count, since = [], 0, time.monotonic()
+        if count:
+            flush()
+        if written:
+            names, counts = zip(*written)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], names=["name", "rows"])
+
+    scored.mapInArrow(run, "name string, rows long").write.format("noop").mode("overwrite").save()
+
+
+def answers_in(spark: SparkSession, folder: str, schema, number: int) -> DataFrame:
+    """The answers that tasks wrote to ``folder`` in round ``number``, one per prompt (the earliest)."""
+    found = tables.get(spark, folder, schema) if tables.exists(spark, folder) else spark.createDataFrame([], schema)
+    return state.dedupe(found.withColumn("round", F.lit(number).cast("bigint")))
+
+
+def _close(spark: SparkSession, folder: str) -> None:
+    """Closes a slice: a table of its own inside the slice's folder, which readers of the answers skip."""
+    tables.put(spark.createDataFrame([], "closed boolean"), f"{folder}/_committed")
+
+
+def _closed(spark: SparkSession, folder: str) -> bool:
+    return tables.committed(spark, f"{folder}/_committed")
+
+
 def _one_round(spark, options, make_transport, root, number, clock, limit, slice_prompts) -> None:
     path = lambda name: f"{root}/{name}/round={number}"
     active = _active(spark, root, number - 1)
@@ -131,29 +214,40 @@ def _one_round(spark, options, make_transport, root, number, clock, limit, slice
         chosen = state.claim(active, now, limit).select("prompt_id", "batch_id", now.alias("claimed_at"))
         tables.put(chosen, path("claims"))
     claimed = tables.get(spark, path("claims"))
-    n, as_of = claimed.agg(F.count("*"), F.max("claimed_at")).first()
-    slices = max(1, -(-n // slice_prompts))
+    slices, as_of = _slices(spark, root, number, claimed, slice_prompts, clock)
     ids = claimed.select("prompt_id").withColumn("slice", _slice_of(slices))
-    claims = state.taken(active.join(ids, "prompt_id")).withColumns(
-        {
-            "last_error": F.col("error"),
-            "due_at": F.col("next_retry_at"),
-            "finished_at": _as_of(as_of or clock.now()),
-            "round": F.lit(number).cast("bigint"),
-        }
-    ).drop("error", "next_retry_at", "status")
-    open_ = [k for k in range(slices) if not tables.committed(spark, f"{path('attempts')}/slice={k}")]
-    for k in open_:
-        own = claims.filter(F.col("slice") == k).drop("slice")
+    if not tables.committed(spark, path("leases")):
+        # the claimed prompts with their text, written once and partitioned by slice
+        leases = state.taken(active.join(ids, "prompt_id")).withColumns(
+            {
+                "last_error": F.col("error"),
+                "due_at": F.col("next_retry_at"),
+                "finished_at": _as_of(as_of),
+                "round": F.lit(number).cast("bigint"),
+            }
+        ).drop("error", "next_retry_at", "status")
+        leases.write.mode("overwrite").partitionBy("slice").parquet(path("leases"))
+    schema = tables.get(spark, path("leases")).drop("slice").schema
+    logged = None
+    for k in range(slices):
+        folder = f"{path('attempts')}/slice={k}"
+        if _closed(spark, folder):
+            continue
+        own = _lease(spark, path("leases"), k, schema)
+        if logged is None:
+            logged = scoring.score(own.limit(0), lambda: None, None, clock.stamps_calls).drop("round").schema
         if resumed:
-            answered = spark.createDataFrame([], "prompt_id string, round bigint")
-            log = state.abandoned(own, answered, _as_of(clock.now()))
+            # closed without new calls; the answers that tasks had written before the run stopped stay
+            kept = answers_in(spark, folder, logged, number)
+            lost = state.abandoned(own, kept, _as_of(clock.now())).select(*logged.fieldNames())
+            lost.write.mode("append").parquet(folder)
         else:
-            log = scoring.score(own, partial(make_transport, number), options.pool_size, clock.stamps_calls)
-        # the only action over the scoring plan; everything after reads the written log
-        tables.put(log.drop("round"), f"{path('attempts')}/slice={k}")
+            scored = scoring.score(own, partial(make_transport, number), options.pool_size, clock.stamps_calls)
+            write_answers(spark, scored.drop("round"), folder)
+        _close(spark, folder)
 
-    log = tables.get(spark, path("attempts")).withColumn("round", F.lit(number).cast("bigint")).drop("slice")
+    # a task that was run twice may have logged a prompt twice: the earliest answer counts
+    log = state.dedupe(tables.get(spark, path("attempts"), logged).withColumn("round", F.lit(number).cast("bigint")))
     decided = stepped(log, options)
     tables.put(decided.filter("status <> 'pending'").select(*_STATE), path("settled"))
     again = decided.filter("status = 'pending'").select(*_QUEUE)
@@ -185,7 +279,8 @@ def documents_of(spark: SparkSession, root: str) -> DataFrame:
 
 
 def attempt_log(spark: SparkSession, root: str) -> DataFrame:
-    """The whole attempt log; ``round`` is a partition column."""
+    """The whole attempt log as written; ``round`` is a partition column. A scoring task that was run twice
+    may have left a prompt twice in a round; ``state.dedupe`` keeps the earliest."""
     return tables.get(spark, f"{root}/attempts").withColumn("round", F.col("round").cast("bigint")).drop("slice")
 
 

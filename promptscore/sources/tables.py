@@ -12,6 +12,20 @@ def committed(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as pyarrow names it (``file:///...`` for local paths)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    qualified = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    if qualified.startswith("file:/") and not qualified.startswith("file:///"):
+        qualified = "file:///" + qualified[len("file:/") :].lstrip("/")
+    return qualified
+
+
 def put(df: DataFrame, path: str) -> None:
     """Write one part of a table under its own path; writing it again replaces it."""
     df.write.mode("overwrite").parquet(path)
