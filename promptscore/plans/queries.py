@@ -515,7 +515,7 @@ def _folded_stream(spark, folder, label, parts) -> DataFrame:
     for k, (low, high) in enumerate(parts):
         tables.put(log.filter((F.col("round") >= cuts[low]) & (F.col("round") < cuts[high])), f"{root}/log-in/part-{k}")
         delivered = spark.readStream.schema(schemas.ATTEMPTS).parquet(f"{root}/log-in/*")
-        _run(jobs.start(delivered, jobs.fold_epochs(DEFAULTS, root), f"{root}/checkpoint"))
+        _run(jobs.start(jobs.keyed_attempts(delivered), jobs.fold_touched(DEFAULTS, root), f"{root}/checkpoint", mode="update"))
     return jobs.states_before(spark, root, len(parts), 20)
 
 

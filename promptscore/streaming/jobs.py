@@ -6,12 +6,14 @@ earlier attempt instead of adding to it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from promptscore import schemas
 from promptscore.operators import state as st
@@ -189,3 +191,70 @@ def due_now(
     if in_flight is not None:
         known = known.join(in_flight.select("prompt_id"), "prompt_id", "left_anti")
     return st.claim(known, as_of, limit)
+
+
+# ---- fold by keyed state ----------------------------------------------------------------------
+
+
+def _plain(value, kind: T.DataType):
+    """A pandas cell as the Python value of its field's type that state rows hold: a nullable integer
+    column reaches pandas as floats."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(kind, T.IntegralType) else value
+
+
+class AttemptLists(StatefulProcessor):
+    """Keeps each prompt's attempts, without exact copies, in list state; for every prompt that a
+    micro-batch touches it emits all of its attempts, so the fold reads those and nothing else."""
+
+    def __init__(self, schema: T.StructType):
+        self.schema = schema
+
+    def init(self, handle) -> None:
+        self.attempts = handle.getListState("attempts", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = [tuple(r) for r in self.attempts.get()] if self.attempts.exists() else []
+        seen, fresh = set(known), []
+        for frame in rows:
+            for row in frame[self.schema.fieldNames()].astype(object).itertuples(index=False, name=None):
+                row = tuple(_plain(v, f.dataType) for v, f in zip(row, self.schema.fields))
+                if row not in seen:
+                    seen.add(row)
+                    fresh.append(row)
+        if fresh:
+            self.attempts.appendList(fresh)
+        every = known + fresh
+        yield pd.DataFrame(every, columns=self.schema.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_attempts(stream: DataFrame) -> DataFrame:
+    """The whole attempt list of every prompt a micro-batch touches, from keyed state (RocksDB)."""
+    return stream.groupBy("prompt_id").transformWithStateInPandas(
+        statefulProcessor=AttemptLists(stream.schema), outputStructType=stream.schema, outputMode="Update", timeMode="None"
+    )
+
+
+def fold_touched(options: Options, root: str, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer over ``keyed_attempts``: folds the touched prompts' attempts into their states.
+
+    The writer reads no log of its own: what an epoch costs follows the prompts it touches and their
+    attempts, not the length of the stream. States and snapshots are laid out as ``fold_epochs`` lays them
+    out, so ``states_before`` and ``due_now`` read either.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        tables.put(st.prompt_state(st.dedupe(batch), options), f"{root}/state/epoch={epoch}")
+        if (epoch + 1) % compact_every == 0:
+            merged = states_before(spark, root, epoch + 1, compact_every, use_snapshot_at=epoch + 1 - compact_every)
+            tables.put(merged, f"{root}/snapshot/upto={epoch + 1}")
+
+    return write
