@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from promptscore.llm.components import components
 from promptscore.llm.shingles import mix, portions
-from promptscore.llm.words import numbered, split_join, written
+from promptscore.llm.words import numbered, packed, split_join, unpacked, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -410,11 +410,11 @@ def exact_links(
         spark, split_join(put, several, ["part"]).select("set", "part", "row.row_hi", "row.row_lo"), f"{root}/suspects"
     )
     texts = docs.select(*row_hashes(id_col, text), F.col(text).alias("_text"))
-    met = split_join(texts, suspects, ["row_hi", "row_lo"]).select("part", "set", "_text")
+    met = split_join(packed(texts, "_text"), suspects, ["row_hi", "row_lo"]).select("part", "set", "_text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(2)]
+            sets = [shingle_set(x.as_py(), shingle) for x in unpacked(batch.column(2))]
             columns = [
                 *batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
             ]
@@ -497,5 +497,14 @@ def keep_one(
     kept = best.select("f.row_hi", "f.row_lo")
     plain, name = numbered(docs)
     keyed = plain.select("*", *row_hashes(name[id_col], name[text]))
-    chosen = keyed.join(kept, ["row_hi", "row_lo"], "left_semi").dropDuplicates(["row_hi", "row_lo"])
-    return chosen.select(*[F.col(new).alias(old) for old, new in name.items()])
+    met = packed(keyed, name[text]).join(kept, ["row_hi", "row_lo"], "left_semi")
+    chosen = met.dropDuplicates(["row_hi", "row_lo"]).select(*[F.col(new).alias(old) for old, new in name.items()])
+    at = docs.columns.index(text)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = unpacked(columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return chosen.mapInArrow(unpack, docs.schema)

@@ -176,6 +176,15 @@ def test_keep_one_against_all_pairs(spark, monkeypatch, slot):
     assert sorted(r.doc_id for r in got) == sorted(set(groups_by_hand(sets, alike)))
 
 
+def test_texts_are_shuffled_packed(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, ""), (None, "é 日 x"), (None, "é 日 x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.keep_one(spark, docs, new_work_dir(spark, "t"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("MapInArrow pack")  # below the shuffles, so before them
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d e f"), (3, None), (None, "é 日 x")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (201, 200)], "a long, b long")
     got = {r.node: r.root for r in components.components(spark, links, new_work_dir(spark, "t")).collect()}
