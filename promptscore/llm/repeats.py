@@ -31,7 +31,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +60,11 @@ def _join(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _string_hashes(data: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """For each size the hash of the string of so many bytes at every position; built by doubling."""
-    powers = {1: _BYTE[data]}
+    """For each size the hash of the string of so many bytes at every position; built by doubling.
+
+    ``data`` may also hold a 64-bit hash for each item of a sequence of other things, such as words.
+    """
+    powers = {1: _BYTE[data] if data.dtype == np.uint8 else data}
     size = 1
     while size * 2 <= max(sizes):
         h = powers[size]
@@ -130,7 +133,13 @@ class Runs:
         )
 
 
-def _buffers(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _joined(parts: list[bytes] | list[np.ndarray]) -> np.ndarray:
+    if parts and isinstance(parts[0], np.ndarray):
+        return np.concatenate(parts)
+    return np.frombuffer(b"".join(parts), np.uint8)
+
+
+def _buffers(texts: list[bytes] | list[np.ndarray], length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(data, valid, text number and offset of each buffer part's start, part starts) over pieces of the texts."""
     pieces = []
     for i, text in enumerate(texts):
@@ -139,7 +148,7 @@ def _buffers(texts: list[bytes], length: int, piece: int) -> Iterator[tuple[np.n
             pieces.append((i, at, min(len(text), at + step + length - 1)))
     for a, b in portions([end - at for _, at, end in pieces], piece):
         own = pieces[a:b]
-        data = np.frombuffer(b"".join(texts[i][at:end] for i, at, end in own), np.uint8)
+        data = _joined([texts[i][at:end] for i, at, end in own])
         sizes = np.array([end - at for _, at, end in own], np.int64)
         starts = np.cumsum(sizes) - sizes
         valid = np.zeros(max(0, len(data) - length + 1), bool)
@@ -220,16 +229,41 @@ def _contents(packed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return wide.select("packed", "asked").mapInArrow(work, "anchor long, run long, content binary")
 
 
-def _window_rows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_rows(contents: list[bytes] | list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content number, position, hash) of all windows of the contents."""
     size = np.array([len(c) for c in contents], np.int64)
-    hashes = _string_hashes(np.frombuffer(b"".join(contents), np.uint8), [length])[0]
+    hashes = _string_hashes(_joined(contents), [length])[0]
     count = size - length + 1
     of = np.repeat(np.arange(len(size)), count)
     at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     return of, at, hashes[(np.cumsum(size) - size)[of] + at]
 
 
+def _by_anchor(close: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """``close`` over rows that come sorted by their first column, some whole groups at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchors = batch.column(0).to_numpy()
+            other = np.flatnonzero(anchors != anchors[-1])
+            if held and len(other) == 0 and held[-1].column(0)[-1].as_py() == anchors[-1]:
+                held.append(batch)
+                continue
+            done = int(other[-1]) + 1 if len(other) else 0
+            held.append(batch.slice(0, done))
+            whole_groups = pa.Table.from_batches(held)
+            if whole_groups.num_rows:
+                yield from close(whole_groups)
+            held = [batch.slice(done)]
+        if held:
+            yield from close(pa.Table.from_batches(held))
+
+    return work
+
+
 def _split_groups(length: int):
     """Rows (anchor, run, content), sorted by anchor: ranges of the windows that another run of the anchor has."""
 
@@ -257,26 +291,7 @@ def _split_groups(length: int):
             table = pa.table(columns, names=["anchor", "run", "a", "b"])
             yield from table.combine_chunks().to_batches()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchors = batch.column(0).to_numpy()
-            other = np.flatnonzero(anchors != anchors[-1])
-            if held and len(other) == 0 and held[-1].column(0)[-1].as_py() == anchors[-1]:
-                held.append(batch)
-                continue
-            done = int(other[-1]) + 1 if len(other) else 0
-            held.append(batch.slice(0, done))
-            whole_groups = pa.Table.from_batches(held)
-            if whole_groups.num_rows:
-                yield from close(whole_groups)
-            held = [batch.slice(done)]
-        if held:
-            yield from close(pa.Table.from_batches(held))
-
-    return work
+    return _by_anchor(close)
 
 
 def _all_windows(contents: DataFrame, length: int) -> DataFrame:
