@@ -410,7 +410,7 @@ def exact_links(
         spark, split_join(put, several, ["part"]).select("set", "part", "row.row_hi", "row.row_lo"), f"{root}/suspects"
     )
     texts = docs.select(*row_hashes(id_col, text), F.col(text).alias("_text"))
-    met = split_join(packed(texts, "_text"), suspects, ["row_hi", "row_lo"]).select("part", "set", "_text")
+    met = split_join(packed(texts, "_text"), suspects.hint("merge"), ["row_hi", "row_lo"]).select("part", "set", "_text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -497,7 +497,7 @@ def keep_one(
     kept = best.select("f.row_hi", "f.row_lo")
     plain, name = numbered(docs)
     keyed = plain.select("*", *row_hashes(name[id_col], name[text]))
-    met = packed(keyed, name[text]).join(kept, ["row_hi", "row_lo"], "left_semi")
+    met = packed(keyed, name[text]).join(kept.hint("merge"), ["row_hi", "row_lo"], "left_semi")
     chosen = met.dropDuplicates(["row_hi", "row_lo"]).select(*[F.col(new).alias(old) for old, new in name.items()])
     at = docs.columns.index(text)
 

@@ -58,6 +58,7 @@ def test_cut_passages():
     assert cut("a b\nc d", [], (1, 2))[0] == "a\nc d" and cut("a\nb c", [], (1, 2))[0] == "a\nc"
     assert cut("a b c", [], (0, 2))[0] == "c" and cut(" a b c", [], (1, 3))[0] == " a"
     assert cut("a b\n\nc d\n\ne", [], (1, 4))[0] == "a\n\ne" and cut("a\n\nb", [1]) == ("a", [{"start": 3, "end": 4}])
+    assert unit_dedup.cut_passages("a b\nc\nd e f\ng", [], [{"start": 1, "end": 7}], 2)[0] == "a b\ng"
     assert cut("a b", [], (0, 2)) == ("", [{"start": 0, "end": 3}])
 
 
