@@ -7,7 +7,8 @@ doubly linked list of the bytes, so a pre-token of n bytes takes O(n log n) what
 
 Stretches between white space recur, so each Python worker remembers the ids of recent ones; the memory is
 cleared when it holds ``MEMORY`` entries and changes no result. The hash's tables are built once and sent
-with the task; their size is that of the vocabulary.
+with the task; their size is that of the vocabulary. ``round_trips`` decodes the ids of many texts at once,
+by taking their tokens from an Arrow array.
 
 Defined cases: a null text encodes as the empty one, to no ids, which decode to nothing; lone surrogates
 cannot occur in Spark strings; equal rows give equal rows; null ids of rows are kept; texts are encoded
@@ -20,10 +21,12 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -31,8 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptscore.llm.shingles import portions
+
 MEMORY = 600_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
+PORTION = 1 << 20  # bytes of text whose ids are decoded at once
 # The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -96,6 +102,21 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
+class Remembered(dict):
+    """What ``make`` returned for a key, at most ``most`` of them; long keys are made anew each time."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= REMEMBERED:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ByteBPE:
     """Encoder and decoder for one vocabulary and pattern."""
 
@@ -104,11 +125,18 @@ class ByteBPE:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.memory: dict[str, bytes] = {}
-        self.known: dict[bytes, list[int]] = {}
+        self._remember()
+
+    def _remember(self) -> None:
+        self.memory = Remembered(self._stretch, MEMORY)  # stretch -> ids as unsigned 32-bit integers
+        self.known = Remembered(self._merged, MEMORY // 6)  # pre-token outside the vocabulary -> the same
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memory": {}, "known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memory", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._remember()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary: always the lowest rank first, then the leftmost."""
@@ -144,42 +172,29 @@ class ByteBPE:
             i = after[i]
         return out
 
-    def piece(self, raw: bytes) -> list[int]:
+    def _merged(self, raw: bytes) -> bytes:
+        return array("I", self.merge(raw)).tobytes()
+
+    def piece(self, raw: bytes) -> bytes:
         """Ids of one pre-token: by the perfect hash, else by merging."""
         whole = self.whole.get(raw)
-        if whole is not None:
-            return [whole]
-        ids = self.known.get(raw)
-        if ids is None:
-            ids = self.merge(raw)
-            if len(raw) <= REMEMBERED:
-                if len(self.known) >= MEMORY // 6:
-                    self.known.clear()
-                self.known[raw] = ids
-        return ids
+        return self.known[raw] if whole is None else array("I", (whole,)).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(stretch):
-            ids += self.piece(piece.encode("utf-8", "surrogatepass"))
-        own = np.array(ids, np.uint32).tobytes()
-        if len(stretch) <= REMEMBERED:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[stretch] = own
-        return own
+        return b"".join([self.piece(x.encode("utf-8", "surrogatepass")) for x in self.pieces.findall(stretch)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit integers."""
-        stretches = _STRETCH.findall(text or "")
-        parts = list(map(self.memory.get, stretches))
-        if None in parts:
-            parts = [self._stretch(x) if own is None else own for x, own in zip(stretches, parts)]
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, _STRETCH.findall(text or ""))), np.uint32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    def strings(self, form: Callable[[int, bytes], bytes]) -> pa.LargeBinaryArray:
+        """``form(rank, token)`` at the place of every rank, null where there is none."""
+        places = range(max(self.token, default=-1) + 1)
+        return pa.array([form(r, self.token[r]) if r in self.token else None for r in places], pa.large_binary())
+
 
 def coder(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """The coder of a rank file, built once and sent to every worker; its size is the vocabulary's."""
@@ -192,6 +207,17 @@ def _int_lists(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def taken(strings: pa.LargeBinaryArray, lists: list[np.ndarray]) -> list[memoryview]:
+    """Per list the strings at its ids, one after the other."""
+    if not any(map(len, lists)):
+        return [memoryview(b"")] * len(lists)
+    found = strings.take(pa.array(np.concatenate(lists)))
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    at = np.frombuffer(found.buffers()[1], np.int64)[found.offset + ends].tolist()
+    data = memoryview(found.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def encode_documents(docs: DataFrame, coder: Broadcast, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each whole text as a list of ints."""
     kept = docs.drop(out)
@@ -259,14 +285,16 @@ def round_trips(docs: DataFrame, coder: Broadcast, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder.value
+        tokens, decimals = bpe.strings(lambda _, token: token), bpe.strings(lambda rank, _: b"%d," % rank)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for x in batch.column(1):
-                ids = bpe.encode(x.as_py()).tolist()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in portions(sizes, PORTION):
+                lists = [bpe.encode(x) for x in batch.column(1).slice(a, b - a).to_pylist()]
+                counts += map(len, lists)
+                ids_sha += [hashlib.sha256(x[:-1]).hexdigest() for x in taken(decimals, lists)]
+                decoded_sha += [hashlib.sha256(x).hexdigest() for x in taken(tokens, lists)]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(zip(schema.names, [c.type for c in columns]))))
 
     return own.mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version or SQL, and its defined edge cases, on small tables."""
 
+import gc
 import hashlib
 import html
+import pickle
 import random
 import re
 import zlib
@@ -465,6 +467,33 @@ def test_bpe_query(spark, folder, bpe, edge, empty):
     assert byte_bpe.round_trips(empty, coder).count() == 0 == byte_bpe.tokenised(empty, coder).count()
 
 
+def test_bpe_remembers_bytes_and_decodes_many_texts_at_once(bpe, monkeypatch):
+    own, other = pickle.loads(pickle.dumps(bpe[0])), bpe[1]
+    monkeypatch.setattr(own.memory, "most", 3)
+    monkeypatch.setattr(own.known, "most", 2)
+    texts = [None, "", "xqzjv wqxzj", " ", "kjhgfq " * 3, "", "日本語 zzxqj\n\n", "q" * 100, "xqzjv wqxzj bvcxq", None]
+    expected = [other.encode_ordinary(x or "") for x in texts]
+    lists = [own.encode(x) for x in texts]
+    assert [x.tolist() for x in lists] == expected
+    held = [*own.memory.values(), *own.known.values()]
+    assert held and not any(map(gc.is_tracked, held)) and len(own.memory) <= 3 and len(own.known) <= 2
+    decimals = byte_bpe.taken(own.strings(lambda rank, _: b"%d," % rank), lists)
+    assert [bytes(x) for x in decimals] == [b"".join(b"%d," % i for i in ids) for ids in expected]
+    tokens = own.strings(lambda _, token: token)
+    assert [bytes(x).decode() for x in byte_bpe.taken(tokens, lists)] == [x or "" for x in texts]
+    assert byte_bpe.taken(tokens, []) == [] and byte_bpe.taken(tokens, lists[:2]) == [b"", b""]
+
+
+def test_bpe_round_trips_across_portions(spark, bpe, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PORTION", 40)
+    rows = [(i, None if i % 7 == 3 else f"text {i} zqxjk " * (i % 5)) for i in range(60)] + [(5, "a"), (None, "日" * 50)]
+    coder = byte_bpe.coder(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    got = byte_bpe.round_trips(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), coder).collect()
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    lists = [(i, x or "", bpe[1].encode_ordinary(x or "")) for i, x in rows]
+    assert Counter(map(tuple, got)) == Counter((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(x.encode())) for i, x, ids in lists)
+
+
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
