@@ -38,7 +38,7 @@ from promptscore.llm.shingles import portions
 
 MEMORY = 600_000
 REMEMBERED = 64  # longest stretch, in code points, that is remembered
-PORTION = 1 << 20  # bytes of text whose ids are decoded at once
+PORTION = 1 << 20  # bytes of text that are encoded and decoded at once
 # The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -244,14 +244,18 @@ def tokenised(docs: DataFrame, coder: Broadcast, text: str = "text") -> DataFram
     schema = T.StructType([*kept.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier steps left in a worker that is used again
         bpe = coder.value
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(at)]
-            lists = [bpe.encode(t) for t in texts]
-            same = [bpe.decode(i.tolist()) == t.encode("utf-8", "surrogatepass") for i, t in zip(lists, texts)]
-            counts = pa.array([len(i) for i in lists], pa.int64())
-            columns = [*batch.columns, _int_lists(lists), counts, pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_pylist()
+            for a, b in portions(sizes, PORTION):  # a whole batch with its ids would be many times as large
+                batch = whole.slice(a, b - a)
+                texts = [x or "" for x in batch.column(at).to_pylist()]
+                lists = [bpe.encode(t) for t in texts]
+                same = [bpe.decode(i.tolist()) == t.encode("utf-8", "surrogatepass") for i, t in zip(lists, texts)]
+                counts = pa.array([len(i) for i in lists], pa.int64())
+                columns = [*batch.columns, _int_lists(lists), counts, pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

@@ -8,9 +8,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -467,6 +469,21 @@ def test_bpe_query(spark, folder, bpe, edge, empty):
     assert byte_bpe.round_trips(empty, coder).count() == 0 == byte_bpe.tokenised(empty, coder).count()
 
 
+def test_tokenised_holds_the_ids_of_a_portion_at_a_time(spark, bpe, monkeypatch):
+    own, other = bpe
+    texts = ["alpha beta " * 50_000, None, "gamma, delta " * 50_000, "", "zzq " * 200_000, "end"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, work, schema: work)
+    work = byte_bpe.tokenised(docs, SimpleNamespace(value=own))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(work(iter([batch])))
+    assert len(got) >= 2 and max(b.num_rows for b in got) < len(texts)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(enumerate(texts)) and all(r["decodes"] for r in rows)
+    ids = [other.encode_ordinary(t or "") for t in texts]
+    assert [(r["token_ids"], r["n_tokens"]) for r in rows] == [(x, len(x)) for x in ids]
+
+
 def test_bpe_remembers_bytes_and_decodes_many_texts_at_once(bpe, monkeypatch):
     own, other = pickle.loads(pickle.dumps(bpe[0])), bpe[1]
     monkeypatch.setattr(own.memory, "most", 3)

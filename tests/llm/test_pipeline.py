@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest tables."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from promptscore.llm import pu_quality, simhash
 
@@ -50,5 +53,21 @@ def test_empty_input(spark, folder):
         assert docs.count() == 0
 
 
+def test_arrow_batches_do_not_grow_with_a_partition(spark, folder):
+    def weighed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = spark.range(0, 8000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(1000).cast("long").alias("n_chars"),
+    )
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    out = corpus_pipeline.tokens(spark, docs, folder)
+    assert max(r.n for r in docs.mapInArrow(weighed, "n long").collect()) < 3 << 20
+    assert out.agg(F.count_if("decodes"), F.sum("n_tokens")).first()[0] == 8000
+
+
 def test_stages_use_the_operators():
     assert pu_quality.THRESHOLD == 0.3 and simhash.RADIUS == 3 and len(corpus_pipeline.STAGES) == 5
