@@ -8,7 +8,8 @@ Candidates of ``near_duplicates``: the 64 bits are cut into radius + 2 blocks. T
 radius agree on at least two whole blocks, so each distinct fingerprint is filed once for every pair of
 blocks under the bits of that pair (ten files of some 26 bits for radius 3). No link can be missed.
 ``keep_one`` takes the search for candidates only, with longer fingerprints filed under minima of the
-shingles, and links texts by the exact Jaccard similarity of their sets of shingles.
+shingles, and links texts by the exact Jaccard similarity of their sets of shingles. Pairs that this search
+may miss are found by prefixes of the sets, see ``prefixes``.
 
 Comparison: a file entry's fingerprints are laid out as vertical bit planes, 64 lanes to a word. A query
 fingerprint is compared with 64 lanes at once: carry-save adders count differing bits two planes at a
@@ -26,15 +27,18 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptscore.llm import prefixes
 from promptscore.llm.components import components
 from promptscore.llm.shingles import mix, portions
 from promptscore.llm.words import numbered, packed, split_join, unpacked, written
@@ -128,28 +132,43 @@ class Minima:
 
 
 def set_prints(
-    docs: DataFrame, id_col: str, text: str, shingle: int, words: int, files: int, rows: int
+    docs: DataFrame, id_col: str, text: str, shingle: int, words: int, files: int, rows: int, percent: int, classes: Broadcast
 ) -> DataFrame:
-    """(id, row_hi, row_lo, set, f0 ..., keys): a hash of every row's set of shingles, the set's fingerprint
-    and file numbers. Repeats of a shingle do not count."""
+    """(id, row_hi, row_lo, set, f0 ..., n, bits, keys, prefix): a hash of every row's set of shingles, the set's
+    fingerprint, size, bitmap and file numbers, and its prefix, which only the first row of a task with that set has.
+    Repeats of a shingle do not count."""
     own = docs.select(F.col(id_col), *row_hashes(id_col, text), F.col(text).alias("_text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("set", *_names(words))]
-    keys = T.StructField("keys", T.ArrayType(T.LongType()))
-    schema, minima = T.StructType([*own.schema.fields[:3], *longs, keys]), Minima(files, rows)
+    longs = [T.StructField(c, T.LongType()) for c in ("set", *_names(words), "n")]
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "prefix")]
+    schema = T.StructType([*own.schema.fields[:3], *longs, T.StructField("bits", T.BinaryType()), *lists])
+    minima = Minima(files, rows)
+
+    def listed(values: np.ndarray, sizes: Sequence[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             texts = batch.column(3)
             for a, b in portions([len(x.as_buffer()) if x.is_valid else 0 for x in texts], 8 << 20):
                 sets = [shingle_set(x.as_py(), shingle) for x in texts.slice(a, b - a)]
-                named = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                named = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
                 prints = np.array([fingerprint_of([s], words) for s in sets], np.int64).reshape(-1, words)
                 worded = [i for i, s in enumerate(sets) if len(s)]
-                filed = minima.of([sets[i] for i in worded]).view(np.int64)
-                sizes = np.zeros(len(sets) + 1, np.int32)
-                sizes[np.array(worded, np.int64) + 1] = files
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(filed.ravel()))
-                columns = [*batch.slice(a, b - a).columns[:3], pa.array(named), *map(pa.array, prints.T), lists]
+                filed = minima.of([sets[i] for i in worded])
+                first = []
+                for name, s in zip(named, sets):
+                    first.append(s[:0] if name in met else prefixes.prefix(s, classes.value, percent))
+                    met.add(name)
+                columns = [
+                    *batch.slice(a, b - a).columns[:3],
+                    pa.array(np.array(named, np.uint64).view(np.int64)),
+                    *map(pa.array, prints.T),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([prefixes.bitmap(s) for s in sets], pa.binary()),
+                    listed(filed.ravel(), [files if len(s) else 0 for s in sets]),
+                    listed(np.concatenate(first), [len(s) for s in first]),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return own.mapInArrow(run, schema)
@@ -399,16 +418,25 @@ def similar_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def exact_links(
     spark: SparkSession, docs: DataFrame, held: DataFrame, stars: DataFrame, root: str, id_col: str, text: str, shingle: int, percent: int, slot: int = SLOT
 ) -> DataFrame:
-    """(a, b): links between the sets of shingles that are alike, among those in one component of candidates.
+    """(a, b): links between the sets of shingles that are alike.
 
-    A component is cut into slots of about ``slot`` shingles, and every pair of slots is a group of its own.
+    Those in one component of candidates are compared with each other, and pairs that meet by their prefixes
+    from different components each for itself, as a part of two. A component is cut into slots of about
+    ``slot`` shingles, and every pair of slots is a group of its own.
     """
-    one = held.groupBy("set", "node").agg(F.min(F.struct("row_hi", "row_lo")).alias("row"))
-    put = split_join(one, stars, ["node"], "left").select("set", F.coalesce("root", "node").alias("part"), "row")
+    one = held.groupBy("set", "node").agg(
+        F.min(F.struct("row_hi", "row_lo")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")
+    )
+    put = split_join(one, stars, ["node"], "left").withColumn("part", F.coalesce("root", "node"))
+    put = written(spark, put.select("set", "part", "row.row_hi", "row.row_lo", "n", "bits"), f"{root}/put")
+    at = put.select("set", "part", "row_hi", "row_lo")
     several = put.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-    suspects = written(
-        spark, split_join(put, several, ["part"]).select("set", "part", "row.row_hi", "row.row_lo"), f"{root}/suspects"
+    pairs = prefixes.pairs(spark, held.select("set", "prefix"), put, root, percent)
+    alone = pairs.select(F.xxhash64("a", "b").alias("part"), F.explode(F.array("a", "b")).alias("set"))
+    suspects = split_join(at, several, ["part"]).select("set", "part", "row_hi", "row_lo").unionAll(
+        split_join(alone, at.drop("part"), ["set"]).select("set", "part", "row_hi", "row_lo")
     )
+    suspects = written(spark, suspects, f"{root}/suspects")
     texts = docs.select(*row_hashes(id_col, text), F.col(text).alias("_text"))
     met = split_join(packed(texts, "_text"), suspects.hint("merge"), ["row_hi", "row_lo"]).select("part", "set", "_text")
 
@@ -472,12 +500,15 @@ def keep_one(
 
     Two texts are linked when their sets of five-word shingles have a Jaccard similarity of ``percent`` in a
     hundred or more, which is computed exactly. Candidates: a text is filed under ``files`` hashes of ``rows``
-    minima, of which two texts at 0.8 have none in common with a chance of about one in ten million, and
-    those in one file are compared by fingerprints of 256 bits, which differ in some 39 bits at 0.8 and in 48
-    for four shingles against five, with a standard deviation of six, so that hardly any pass the radius.
-    All sets that candidates connect are then compared, whether they were candidates themselves or not.
+    minima, of which two texts at 0.8 have none in common with a chance of about one in ten million (for some
+    texts, one in a hundred thousand), and those in one file are compared by fingerprints of 256 bits, which differ
+    in some 39 bits at 0.8 and in 48 for four shingles against five, with a standard deviation of six, so that
+    hardly any pass the radius. All sets that candidates connect are then compared, whether they were
+    candidates themselves or not. Pairs that are not connected so meet by their prefixes, which leaves out none.
     """
-    prints = set_prints(docs, id_col, text, shingle, words, files, rows)
+    classes = prefixes.frequency_classes(docs, text, partial(shingle_set, shingle=shingle))
+    classes = spark.sparkContext.broadcast(classes)
+    prints = set_prints(docs, id_col, text, shingle, words, files, rows, percent, classes)
     names = _names(words)
     held = written(spark, prints.withColumn("node", _node(names)), f"{root}/prints")
     filed = held.select(*names, F.posexplode("keys").alias("t", "k")).select(

@@ -26,6 +26,7 @@ from promptscore.llm import (
     contamination,
     line_frequency,
     main_text,
+    prefixes,
     pu_quality,
     queries,
     repeats,
@@ -180,6 +181,61 @@ def test_keep_one_against_all_pairs(spark, monkeypatch, slot):
     assert sorted(r.doc_id for r in got) == sorted(set(groups_by_hand(sets, alike)))
 
 
+def test_keep_one_finds_a_pair_without_a_common_file(spark):
+    minima, base = simhash.Minima(40, 5), [f"w{i}" for i in range(1672, 1680)]
+    texts = [" ".join([*base, *more]) for more in ([], ["x24576"], ["x52687"])]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    assert [len(s) for s in sets] == [4, 5, 5] and set(sets[0]) < set(sets[1])  # 4 of 5 in common
+    first, second, third = minima.of(sets)
+    assert not (first == second).any() and not (first == third).any()
+    rows = [(3, texts[0]), (5, texts[1]), (4, "other words " * 3), (6, "w1672 w1673 w1674 w1675 w1676 w1677")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = simhash.keep_one(spark, docs, new_work_dir(spark, "t")).collect()
+    assert sorted(r.doc_id for r in got) == [3, 4, 6]
+    far = spark.createDataFrame([(9, texts[0]), (8, texts[1]), (7, texts[1])], "doc_id bigint, text string").repartition(3)
+    assert [r.doc_id for r in simhash.keep_one(spark, far, new_work_dir(spark, "t")).collect()] == [7]
+
+
+def by_prefixes(spark, sets, percent, block=4096, hot=()):
+    """Pairs that ``prefixes.pairs`` finds between sets of hashes that are each a part of their own."""
+    classes = np.zeros(prefixes.CELLS, np.uint8)
+    classes[np.array(hot, np.int64) % prefixes.CELLS] = 9
+    rows = [
+        (i, i, len(s), bytearray(prefixes.bitmap(s)), prefixes.prefix(s, classes, percent).view(np.int64).tolist())
+        for i, s in enumerate(sets)
+    ]
+    put = spark.createDataFrame(rows, "set long, part long, n long, bits binary, prefix array<long>").repartition(4)
+    found = prefixes.pairs(spark, put.select("set", "prefix"), put.drop("prefix"), new_work_dir(spark, "t"), percent, block)
+    return {tuple(r) for r in found.collect()}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("percent", [60, 80])
+def test_prefixes_leave_out_no_pair(spark, percent, block):
+    rng = np.random.default_rng(8)
+    stock = rng.integers(0, 1 << 64, 30, np.uint64)
+    sets = [np.zeros(0, np.uint64)]
+    for size in [1, 2, 4, 5, 9, 10, 40, 41, 300] * 3:
+        own = np.unique(np.concatenate([rng.integers(0, 1 << 64, size, np.uint64), stock[: size // 3]]))
+        for gone, new in [(0, 0), (1, 0), (0, 1), (1, 1), (len(own) // 9, len(own) // 9), (len(own) // 5, 0), (len(own) // 3, 3)]:
+            sets.append(np.unique(np.append(rng.permutation(own)[gone:], rng.integers(0, 1 << 64, new, np.uint64))))
+    sets = [np.frombuffer(b, np.uint64) for b in {s.tobytes() for s in sets}]
+    alike = {
+        (j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+        if (n := len(np.intersect1d(a, b))) and n * 100 >= (len(a) + len(b) - n) * percent
+    }
+    got = by_prefixes(spark, sets, percent, block, stock.view(np.int64))
+    assert len(alike) > 100 and alike <= got and len(got) < len(sets) * 20
+
+
+def test_frequency_classes_count_every_row(spark):
+    docs = spark.createDataFrame([("a a b",)] * 7 + [("b c",), (None,), ("",)], "text string").repartition(3)
+    own = lambda t: np.unique(np.array([ord(w) for w in (t or "").split()], np.uint64))
+    classes = prefixes.frequency_classes(docs, "text", own)
+    assert {int(c): int(classes[c]) for c in np.flatnonzero(classes)} == {97: 24, 98: 25, 99: 8}
+    assert not prefixes.frequency_classes(docs.where("false"), "text", own).any()
+
+
 def test_texts_are_shuffled_packed(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, ""), (None, "é 日 x"), (None, "é 日 x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
