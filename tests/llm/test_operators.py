@@ -226,6 +226,9 @@ def test_prefixes_leave_out_no_pair(spark, percent, block):
     }
     got = by_prefixes(spark, sets, percent, block, stock.view(np.int64))
     assert len(alike) > 100 and alike <= got and len(got) < len(sets) * 20
+    n = np.arange(1, 300)
+    least = prefixes._least(n[:, None], n, percent)
+    assert (least[np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent] > 0).all()
 
 
 def test_frequency_classes_count_every_row(spark):
